@@ -7,48 +7,48 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters and signs that have no decomposition, with their usual ASCII spelling.
+# Lower-case Latin letters and signs without a decomposition, in their usual ASCII spelling.
 SPELLINGS = {
-    "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O",
-    "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L",
-    "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ŋ": "ng", "Ŋ": "NG", "ı": "i", "ĸ": "k",
-    "°": "deg", "€": "EUR", "§": "SS", "×": "x", "¶": "P",
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ħ": "h",
+    "ŧ": "t", "ŋ": "ng", "ı": "i", "ĸ": "k", "°": "deg", "€": "eur", "§": "ss", "×": "x", "¶": "p",
 }
-# Blocks of Latin letters (Latin-1, Extended-A/B, Extended Additional, ligatures).
+# Blocks of Latin letters (Latin-1, Extended-A/B, Extended Additional, ligatures),
+# and of combining marks.
 LATIN_BLOCKS = ((0x00A1, 0x0250), (0x1E00, 0x1F00), (0xFB00, 0xFB07))
+COMBINING_BLOCK = (0x0300, 0x0370)
 
-_ASCII_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_ASCII_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-def _decomposed() -> dict[str, str]:
-    """ASCII letters and digits of every Latin character that Unicode decomposes into them."""
+def _spelled_in_ascii() -> dict[str, str]:
+    """ASCII letters and digits of every lower-case Latin character that Unicode decomposes so."""
     table = dict(SPELLINGS)
     for start, stop in LATIN_BLOCKS:
-        for code in range(start, stop):
-            char = chr(code)
-            parts = unicodedata.normalize("NFKD", char)
-            base = "".join(c for c in parts if not unicodedata.combining(c))
-            if char not in table and base and set(base) <= _ASCII_ALNUM:
+        for char in map(chr, range(start, stop)):
+            base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+            if char == char.lower() and char not in table and base and set(base) <= _ASCII_ALNUM:
                 table[char] = base
     return table
 
 
-_FOLDS = _decomposed()
-_ONE_TO_ONE = {c: b for c, b in _FOLDS.items() if len(b) == 1}
-_ONE_TO_MANY = {c: b for c, b in _FOLDS.items() if len(b) > 1}
-_MANY_CLASS = "[" + "".join(_ONE_TO_MANY) + "]"
-_COMBINING = "".join(chr(code) for code in range(0x0300, 0x0370))  # translate drops what has no target
+_TABLE = _spelled_in_ascii()
+_SINGLE = {c: base for c, base in _TABLE.items() if len(base) == 1}
+_LONGER = {c: base for c, base in _TABLE.items() if len(base) > 1}
+_COMBINING = "".join(map(chr, range(*COMBINING_BLOCK)))  # translate drops what has no target
 
 
-def fold_ascii(text: Column) -> Column:
-    """Latin characters spelled in ASCII, combining marks removed; the rest is left as it is."""
-    spelled = text
-    for char, base in _ONE_TO_MANY.items():
-        spelled = F.replace(spelled, F.lit(char), F.lit(base))
-    single = F.when(text.rlike(_MANY_CLASS), spelled).otherwise(text)
-    folded = F.translate(single, "".join(_ONE_TO_ONE) + _COMBINING, "".join(_ONE_TO_ONE.values()))
+def _folded(column: str) -> str:
+    """SQL text: lower case, Latin characters spelled in ASCII, combining marks removed.
+
+    As text, because a chain of calls per column would cost more than running it on small inputs.
+    """
+    low = spelled = f"lower({column})"
+    for char, base in _LONGER.items():
+        spelled = f"replace({spelled}, '{char}', '{base}')"
+    single = f"CASE WHEN {low} RLIKE '[{''.join(_LONGER)}]' THEN {spelled} ELSE {low} END"
+    folded = f"translate({single}, '{''.join(_SINGLE)}{_COMBINING}', '{''.join(_SINGLE.values())}')"
     # Pure ASCII text (as many bytes as characters) needs none of this.
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
+    return f"CASE WHEN octet_length({column}) = length({column}) THEN {low} ELSE {folded} END"
 
 
 def strip_spaces(text: Column) -> Column:
@@ -64,10 +64,9 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def norm_text(text: Column) -> Column:
+def norm_text(column: str) -> Column:
     """Lower-case ASCII words of letters and digits with single blanks; NULL when none is left."""
-    words = F.regexp_replace(F.lower(fold_ascii(text)), "[^a-z0-9]+", " ")
-    return blank_to_null(F.trim(words))
+    return F.expr(f"nullif(trim(regexp_replace({_folded(column)}, '[^a-z0-9]+', ' ')), '')")
 
 
 def display_name(text: Column) -> Column:

@@ -10,26 +10,22 @@ from rowkin.operators.upsert import overlay
 from rowkin.session import stage
 
 
-def with_decision(labeled: DataFrame, decisions: DataFrame) -> DataFrame:
-    return labeled.join(decisions.select("pair_id", "p_match", "decision"), "pair_id")
-
-
-def review_rows(labeled: DataFrame, rules: DataFrame, scores: DataFrame) -> DataFrame:
-    """Labelled REVIEW pairs with their second score, NULL where there is none."""
-    queue = labeled.join(rules.where(F.col("decision") == "REVIEW").select("pair_id"), "pair_id")
+def review_rows(rules: DataFrame, scores: DataFrame) -> DataFrame:
+    """The rules' REVIEW pairs with their second score, NULL where there is none."""
+    queue = rules.where(F.col("decision") == "REVIEW").drop("p_match", "decision")
     return queue.join(scores.select("pair_id", "p_same"), "pair_id", "left")
 
 
 def merge_stages(rules: DataFrame, second: DataFrame) -> DataFrame:
     """All pairs: the second stage's result where there is one, else the first stage's."""
-    return overlay(rules.select("pair_id", "p_match", "decision"), second, "pair_id", ("p_match", "decision"))
+    return overlay(rules, second, "pair_id", ("p_match", "decision"))
 
 
-def run_cascade(labeled: DataFrame, rules: DataFrame, scores: DataFrame,
+def run_cascade(rules: DataFrame, scores: DataFrame,
                 target: float = TARGET_PRECISION) -> tuple[DataFrame, Thresholds | None]:
     """Refit and retune on the dev part of the queue. Without both classes there the queue stays."""
-    queue = stage(review_rows(labeled, rules, scores), "queue")
+    queue = stage(review_rows(rules, scores), "queue")
     if not has_both_classes(queue):
-        return rules.select("pair_id", "p_match", "decision"), None
+        return rules, None
     second, tau = run_config(queue, "p_same", target)
     return merge_stages(rules, second), tau

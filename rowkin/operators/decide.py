@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -155,19 +154,20 @@ def route(p: Column, conflict: Column, invalid: Column, tau: Thresholds) -> Colu
 
 def decide(labeled: DataFrame, model: Weights, tau: Thresholds | None = None, score: str | None = None,
            target: float = TARGET_PRECISION) -> tuple[DataFrame, Thresholds]:
-    """Decision rows (pair_id, p_same, p_match, decision) for a given model."""
+    """``labeled`` with ``p_match`` and ``decision``: one narrow projection, so nothing is joined
+    to find a pair's labels or records again. Thresholds are tuned on dev unless given."""
     scored = labeled.withColumn("p_match", match_probability(model, score))
     if tau is None:
         tau = tune(scored.where(F.col("split") == "dev"), target)
-    second = F.col(score).cast("double") if score else F.lit(None).cast("double")
     invalid = F.col(score).isNull() if score else F.lit(False)
-    decisions = scored.select(
-        "pair_id",
-        second.alias("p_same"),
-        "p_match",
-        route(F.col("p_match"), F.col("birth_date_conflict"), invalid, tau).alias("decision"),
-    )
-    return decisions, tau
+    decision = route(F.col("p_match"), F.col("birth_date_conflict"), invalid, tau)
+    return scored.withColumn("decision", decision), tau
+
+
+def decision_rows(decided: DataFrame, score: str | None = None) -> DataFrame:
+    """What leaves the decision step: (pair_id, p_same, p_match, decision), nothing else."""
+    second = F.col(score) if score else F.lit(None)
+    return decided.select("pair_id", second.cast("double").alias("p_same"), "p_match", "decision")
 
 
 def run_config(labeled: DataFrame, score: str | None = None,
@@ -184,6 +184,3 @@ def has_both_classes(labeled: DataFrame) -> bool:
     ).first()
     return row["yes"] > 0 and row["no"] > 0
 
-
-def is_probability(p: float) -> bool:
-    return math.isfinite(p) and 0.0 <= p <= 1.0

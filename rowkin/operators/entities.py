@@ -16,7 +16,7 @@ ENTITY_COLUMNS = (
 def _entities(rows: DataFrame, source: str, id_column: str) -> DataFrame:
     """Narrow projections only: no shuffle, no Python worker."""
     normed = rows.withColumns({
-        f"{name}_norm": text.norm_text(F.col(name)) for name in ("given", "family", "city", "address")
+        f"{name}_norm": text.norm_text(name) for name in ("given", "family", "city", "address")
     })
     return normed.select(
         keys.entity_key(source, F.col(id_column)).alias("entity_key"),

@@ -16,7 +16,7 @@ def latest_present(field: str, updated_at: str, tie: str) -> Column:
     An ordinary aggregate instead of a sorted window: it combines before the shuffle, so a cluster
     with very many records never comes together in one task.
     """
-    micros = F.unix_micros(F.col(updated_at))
+    micros = F.unix_micros(F.col(updated_at).cast("timestamp"))
     recency = F.struct(F.col(updated_at).isNull(), -F.coalesce(micros, F.lit(0)), F.col(tie))
     return F.min_by(field, F.when(F.col(field).isNotNull(), recency)).alias(field)
 

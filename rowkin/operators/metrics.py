@@ -25,7 +25,7 @@ def blocking_recall(labeled: DataFrame, truth: DataFrame) -> DataFrame:
     """Labelled true pairs among the candidates, out of all true pairs of every split."""
     found = labeled.agg(F.count_if("is_match").alias("found"))
     total = true_pair_counts(truth).agg(F.coalesce(F.sum("true_pairs"), F.lit(0)).alias("true_pairs"))
-    total_value = F.lit(total.first()["true_pairs"])
+    total_value = F.lit(total.first()["true_pairs"]).cast("bigint")
     return found.select("found", total_value.alias("true_pairs"), _share(F.col("found"), total_value).alias("recall"))
 
 
@@ -54,14 +54,14 @@ def config_metrics(decided: DataFrame, true_pairs_test: int) -> DataFrame:
     )
 
 
-def cascade_metrics(labeled: DataFrame, rules: DataFrame, cascade: DataFrame, timing: DataFrame) -> DataFrame:
+def cascade_metrics(rules: DataFrame, cascade: DataFrame, timing: DataFrame) -> DataFrame:
     """One row: the rules' test queue and what the second stage made of it.
 
     ``timing`` is one scorer's batch times; its three sums are single numbers.
     """
-    queue = labeled.where(F.col("split") == "test").select("pair_id", "is_match") \
-        .join(rules.where(F.col("decision") == "REVIEW").select("pair_id"), "pair_id") \
-        .join(cascade.select("pair_id", F.col("decision").alias("after")), "pair_id", "left")
+    in_queue = (F.col("split") == "test") & (F.col("decision") == "REVIEW")
+    queue = rules.where(in_queue).select("pair_id", "is_match").join(
+        cascade.select("pair_id", F.col("decision").alias("after")), "pair_id", "left")
     after, is_match = F.col("after"), F.col("is_match")
     resolved = after.isNull() | (after != "REVIEW")
     correct = F.coalesce(((after == "MATCH") & is_match) | ((after == "NON_MATCH") & ~is_match), F.lit(False))

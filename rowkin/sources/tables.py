@@ -20,8 +20,8 @@ class Layers:
     def path(self, layer: str, table: str) -> str:
         return os.path.join(self.root, layer, table)
 
-    def replace(self, layer: str, table: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(layer, table))
+    def replace(self, layer: str, table: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(layer, table))
         return self.read(layer, table)
 
     def append(self, layer: str, table: str, df: DataFrame) -> DataFrame:
