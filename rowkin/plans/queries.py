@@ -19,7 +19,7 @@ from rowkin.operators import blocking, cascade, decide, digest, golden, metrics,
 from rowkin.operators.components import clusters, cross_reference
 from rowkin.operators.entities import ENTITY_COLUMNS, all_entities, billing_entities, crm_entities
 from rowkin.operators.upsert import overlay, upsert
-from rowkin.plans.run import RunConfig, build_gold, run, same_digest_as_last, score_review
+from rowkin.plans.run import RunConfig, build_gold, link, same_digest_as_last, score_review
 from rowkin.session import scratch_root, stage
 from rowkin.sources import csv_tables
 from rowkin.sources import customer_sources as src
@@ -344,11 +344,10 @@ def volume_counts(t: Tables) -> DataFrame:
 
 
 def linked_customers(t: Tables, scorers: Sequence[scoring.ColumnScorer] = ()) -> DataFrame:
-    """A full run with fitted models: sources in, published master records out."""
-    rows, root = t.rows(), t.scratch()
+    """A run with fitted models, from the sources to the golden records that go to the gate."""
+    rows = t.rows()
     config = RunConfig(scorers=scorers, primary=scorers[0].name if scorers else "baseline")
-    run(t.spark, src.crm_users(rows), src.billing_users(rows), t.truth(), root, config)
-    return VersionedTables(t.spark, os.path.join(root, "gold")).read("customer_master")
+    return link(t.spark, src.crm_users(rows), src.billing_users(rows), t.truth(), t.scratch(), config).master
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {

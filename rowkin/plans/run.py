@@ -78,15 +78,25 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def run(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFrame, root: str,
-        config: RunConfig | None = None) -> RunResult:
-    """Full refresh: each layer is written before the next one reads it; gold changes as a whole."""
-    config = config or RunConfig()
-    started = time.perf_counter()
-    layers = Layers(spark, root)
-    gold = VersionedTables(spark, os.path.join(root, "gold"))
-    ops = VersionedTables(spark, os.path.join(root, "ops"))
+@dataclass(frozen=True)
+class Linked:
+    """Everything a run computed before the gate; ``master`` and ``xref`` are written, not published."""
+
+    entities: DataFrame
+    pairs: DataFrame
+    labeled: DataFrame
+    truth: DataFrame
+    decisions: dict[str, DataFrame]
+    scores: dict[str, DataFrame]
+    thresholds: dict[str, decide.Thresholds | None]
+    master: DataFrame
+    xref: DataFrame
 
+
+def link(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFrame, root: str,
+         config: RunConfig) -> Linked:
+    """Sources to staged golden records. Full refresh: each layer is written before the next reads it."""
+    layers = Layers(spark, root)
     crm = layers.replace("bronze", "crm_users", crm)
     billing = layers.replace("bronze", "billing_users", billing)
     truth = layers.replace("ops", "ground_truth", truth)
@@ -94,9 +104,9 @@ def run(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFram
     features = layers.replace("silver", "pair_features", build_pairs(entities))
     labeled = layers.replace("silver", "labeled_pairs", labeled_pairs(features, truth))
 
-    # Stage 1: rules on all pairs.
+    # Stage 1: rules on all pairs. Model and thresholds are numbers by now, so the decisions are a
+    # narrow projection of the labelled pairs, cheap to repeat.
     rules, tau = decide.run_config(labeled, None, config.target_precision)
-    rules = stage(rules, "rules")
     decisions, thresholds = {RULES: rules}, {RULES: tau}
 
     # Stage 2: each scorer on the rules' REVIEW pairs only.
@@ -104,71 +114,87 @@ def run(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFram
     for scorer in config.scorers:
         name = config_name(scorer.name)
         scores[scorer.name] = score_review(rules, entities, scorer, config.batch_size)
-        final, thresholds[name] = cascade.run_cascade(rules, scores[scorer.name], config.target_precision)
-        decisions[name] = stage(final, "cascade")
-    primary = decisions.get(config_name(config.primary), rules)
+        decisions[name], thresholds[name] = cascade.run_cascade(rules, scores[scorer.name], config.target_precision)
+    if scores:
+        scored = _union(list(scores.values()))
+        layers.replace("silver", "scores", scored.select("pair_id", "checkpoint", "p_same"))
 
     columns = ("pair_id", "p_match", "decision")
-    decided = _union([_tagged(d.select(*columns, "split", "is_match"), config=name) for name, d in decisions.items()])
-    layers.replace("silver", "pair_decisions", decided.select("config", *columns), ("config",))
+    layers.replace("silver", "pair_decisions",
+                   _union([_tagged(d.select(*columns), config=name) for name, d in decisions.items()]), ("config",))
     undecided = features.withColumns({"p_match": F.lit(None).cast("double"), "decision": F.lit(None).cast("string")})
+    primary = decisions.get(config_name(config.primary), rules)
     pairs = layers.replace("silver", "pairs", overlay(undecided, primary, "pair_id", columns[1:]))
 
-    timing = ops.read("timing")
-    if scores:
-        scored = _union(list(scores.values()))
-        layers.replace("silver", "scores", scored.select("pair_id", "checkpoint", "p_same"))
-        new = scoring.batch_timing(scored, config.run_id)
-        timing = new if timing is None else upsert(timing, new, ("run_id", "batch_id", "checkpoint"), ("load_s", "infer_s"))
-        timing = ops.write(config.run_id, "timing", timing)
-        ops.publish(config.run_id, ["timing"])
-
-    # Write, audit, publish.
-    previous = gold.read("customer_master"), gold.read("customer_xref")
     master, xref = build_gold(entities, pairs)
     if config.inject_duplicate:
         master = master.unionByName(master.limit(1))
+    gold = VersionedTables(spark, os.path.join(root, "gold"))
     master = gold.write(config.run_id, "customer_master", master)
     xref = gold.write(config.run_id, "customer_xref", xref)
-    quality.require(quality.gold_checks(master, xref, entities))
+    return Linked(entities, pairs, labeled, truth, decisions, scores, thresholds, master, xref)
+
+
+def run(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFrame, root: str,
+        config: RunConfig | None = None) -> RunResult:
+    """Link, audit, publish, report. When a check fails, ``GateFailed`` is raised and gold is as before."""
+    config = config or RunConfig()
+    started = time.perf_counter()
+    gold = VersionedTables(spark, os.path.join(root, "gold"))
+    previous = gold.read("customer_master"), gold.read("customer_xref")
+    linked = link(spark, crm, billing, truth, root, config)
+    quality.require(quality.gold_checks(linked.master, linked.xref, linked.entities))
     gold.publish(config.run_id, GOLD_TABLES)
 
-    digest = combined_digest([master, xref])
+    timing = _record_timing(spark, root, config.run_id, linked.scores)
+    digest = combined_digest([linked.master, linked.xref])
     same = None if previous[0] is None else combined_digest(list(previous)) == digest
-    report = _report(config, entities, pairs, labeled, truth, master, decisions, decided, scores, timing)
+    report = _report(config, linked, timing)
+    stamp = [F.lit(config.run_id).alias("run_id"), F.lit(None).cast("double").alias("value"),
+             F.current_timestamp().alias("created_at")]
+    rows = [spark.range(1, numPartitions=1).select(
+        *stamp, F.lit("gold_hash").alias("metric"), F.to_json(F.struct(F.lit(digest).alias("hash"))).alias("dims"))]
     for name, table in report.items():
         table.write.mode("overwrite").json(os.path.join(root, "reports", config.run_id, name))
-    history = spark.range(1, numPartitions=1).select(
-        F.lit(config.run_id).alias("run_id"), F.lit("gold_hash").alias("metric"), F.lit(None).cast("double").alias("value"),
-        F.to_json(F.struct(F.lit(digest).alias("hash"))).alias("dims"), F.current_timestamp().alias("created_at"))
-    rows = [history]
-    for name, table in report.items():
-        rows.append(table.select(
-            F.lit(config.run_id).alias("run_id"), F.lit(name).alias("metric"), F.lit(None).cast("double").alias("value"),
-            F.to_json(F.struct(*table.columns)).alias("dims"), F.current_timestamp().alias("created_at")))
-    layers.append("ops", "run_metrics", _union(rows))
-    return RunResult(config.run_id, thresholds, report, digest, same, time.perf_counter() - started)
+        rows.append(table.select(*stamp, F.lit(name).alias("metric"), F.to_json(F.struct(*table.columns)).alias("dims")))
+    Layers(spark, root).append("ops", "run_metrics", _union(rows))
+    return RunResult(config.run_id, linked.thresholds, report, digest, same, time.perf_counter() - started)
 
 
-def _report(config: RunConfig, entities: DataFrame, pairs: DataFrame, labeled: DataFrame, truth: DataFrame,
-            master: DataFrame, decisions: dict[str, DataFrame], decided: DataFrame,
-            scores: dict[str, DataFrame], timing: DataFrame | None) -> dict[str, DataFrame]:
-    true_pairs = {r["split"]: r["true_pairs"] for r in metrics.true_pair_counts(truth).collect()}
+def _record_timing(spark: SparkSession, root: str, run_id: str, scores: dict[str, DataFrame]) -> DataFrame | None:
+    """Batch times of this run put over those of earlier runs; a repeated batch keeps its pair count."""
+    ops = VersionedTables(spark, os.path.join(root, "ops"))
+    timing = ops.read("timing")
+    if not scores:
+        return timing
+    new = scoring.batch_timing(_union(list(scores.values())), run_id)
+    if timing is not None:
+        new = upsert(timing, new, ("run_id", "batch_id", "checkpoint"), ("load_s", "infer_s"))
+    timing = ops.write(run_id, "timing", new)
+    ops.publish(run_id, ["timing"])
+    return timing
+
+
+def _report(config: RunConfig, linked: Linked, timing: DataFrame | None) -> dict[str, DataFrame]:
+    true_pairs = {r["split"]: r["true_pairs"] for r in metrics.true_pair_counts(linked.truth).collect()}
+    decided = _union([
+        _tagged(d.select("decision", "split", "is_match"), config=name) for name, d in linked.decisions.items()])
     report = {
-        "volumes": metrics.volume_counts(entities, pairs, master),
-        "blocking": metrics.blocking_recall(labeled, truth),
+        "volumes": metrics.volume_counts(linked.entities, linked.pairs, linked.master),
+        "blocking": metrics.blocking_recall(linked.labeled, linked.truth),
         "configs": metrics.config_metrics(decided, true_pairs.get("test", 0)),
     }
-    if scores:
+    if linked.scores:
         own = timing.where(F.col("run_id") == config.run_id)
-        every = _union(list(scores.values()))
+        every = _union(list(linked.scores.values()))
+        rules = linked.decisions[RULES]
         report["cascade"] = _union([
-            _tagged(metrics.cascade_metrics(decisions[RULES], decisions[config_name(name)],
+            _tagged(metrics.cascade_metrics(rules, linked.decisions[config_name(name)],
                                             own.where(F.col("checkpoint") == name)), checkpoint=name)
-            for name in scores
+            for name in linked.scores
         ])
         report["scores"] = _union([
-            metrics.score_metrics(every, labeled, own, name, config.cost_per_hour) for name in scores
+            metrics.score_metrics(every, linked.labeled, own, name, config.cost_per_hour) for name in linked.scores
         ])
     return report
 
