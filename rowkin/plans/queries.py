@@ -20,7 +20,7 @@ from rowkin.operators.components import clusters, cross_reference
 from rowkin.operators.entities import ENTITY_COLUMNS, all_entities, billing_entities, crm_entities
 from rowkin.operators.upsert import overlay, upsert
 from rowkin.plans.run import RunConfig, build_gold, link, same_digest_as_last, score_review
-from rowkin.session import scratch_root, stage
+from rowkin.session import scratch_root, spread, stage
 from rowkin.sources import csv_tables
 from rowkin.sources import customer_sources as src
 from rowkin.sources.tables import Layers, VersionedTables
@@ -63,7 +63,7 @@ class Tables:
         return os.path.join(scratch_root(self.spark), f"tables-{uuid.uuid4().hex}")
 
     def rows(self) -> DataFrame:
-        return src.source_rows(self.given("customer"))
+        return src.source_rows(spread(self.given("customer").select("c_custkey")))
 
     def truth(self) -> DataFrame:
         return src.ground_truth(self.rows())
@@ -117,7 +117,8 @@ def bronze_csv(t: Tables) -> DataFrame:
 
 
 def document_words(t: Tables) -> DataFrame:
-    words = t.given("documents").select("doc_id", norm_text("text").alias("words"))
+    documents = spread(t.given("documents").select("doc_id", "text"))
+    words = documents.select("doc_id", norm_text("text").alias("words"))
     return words.select("doc_id", F.length("words").cast("bigint").alias("n_chars"), F.md5("words").alias("digest"))
 
 
