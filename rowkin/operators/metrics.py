@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SECONDS_PER_HOUR = 3600
 SCORED_UNIT = 1000
 
+MEDIAN_ROWS, MEDIAN_STEPS = 100_000, 1000  # rows sorted in one task at most; steps per pass
+
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
@@ -17,8 +19,8 @@ def _share(part: Column, whole: Column) -> Column:
 def true_pair_counts(truth: DataFrame) -> DataFrame:
     """(split, true_pairs): pairs of records of one person, counted without forming them."""
     sizes = truth.groupBy("split", "true_entity_id").agg(F.count("*").alias("n"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return sizes.groupBy("split").agg(F.sum(pairs.cast("bigint")).alias("true_pairs"))
+    pairs = F.expr("n * (n - 1) DIV 2")
+    return sizes.groupBy("split").agg(F.sum(pairs).alias("true_pairs"))
 
 
 def blocking_recall(labeled: DataFrame, truth: DataFrame) -> DataFrame:
@@ -104,38 +106,60 @@ def auc(scored: DataFrame, score: str, label: str) -> float | None:
     ).evaluate(rows)
 
 
-def timing_metrics(timing: DataFrame, cost_per_hour: float) -> DataFrame:
-    """One row per checkpoint: batches, median batch time, load time, throughput and cost."""
-    sums = timing.groupBy("checkpoint").agg(
+def exact_median(values: DataFrame, column: str, in_one_task: int = MEDIAN_ROWS) -> float | None:
+    """The median of a column, without sorting it in one task.
+
+    Rows are counted in equal steps between the extremes, and only the steps that hold the middle
+    are looked at again, until few enough rows are left to sort. NULLs do not count.
+    """
+    x = F.col(column)
+    rest = values.where(x.isNotNull()).select(x.cast("double").alias(column))
+    seen = rest.agg(F.count("*").alias("rows"), F.min(x).alias("low"), F.max(x).alias("high")).first()
+    rows, low, high = seen["rows"], seen["low"], seen["high"]
+    if not rows:
+        return None
+    first, last = (rows - 1) // 2, rows // 2
+    while rows > in_one_task and low < high:
+        step = F.least(F.floor((x - low) / (high - low) * MEDIAN_STEPS), F.lit(MEDIAN_STEPS - 1))
+        counts = rest.groupBy(step.alias("step")).agg(
+            F.count("*").alias("rows"), F.min(x).alias("low"), F.max(x).alias("high")).orderBy("step").collect()
+        before, middle = 0, []
+        for part in counts:  # at most MEDIAN_STEPS rows
+            if before <= last and before + part["rows"] > first:
+                middle.append((before, part))
+            before += part["rows"]
+        if len(middle) == 2:  # the middle lies between two steps: last row of one, first of the next
+            return (middle[0][1]["high"] + middle[1][1]["low"]) / 2
+        skipped, rows = middle[0][0], middle[0][1]["rows"]
+        low, high = middle[0][1]["low"], middle[0][1]["high"]
+        first, last = first - skipped, last - skipped
+        rest = rest.where(x.between(low, high))
+    if low == high:
+        return low
+    ordered = [r[0] for r in rest.orderBy(column).limit(last + 1).collect()]
+    return (ordered[first] + ordered[last]) / 2
+
+
+def timing_metrics(timing: DataFrame, checkpoint: str, cost_per_hour: float) -> DataFrame:
+    """One row for one checkpoint: batches, median batch time, load time, throughput and cost."""
+    own = timing.where(F.col("checkpoint") == checkpoint)
+    sums = own.groupBy("checkpoint").agg(
         F.count("*").alias("batches"),
-        F.percentile("infer_s", F.lit(0.5)).alias("p50_batch_s"),
         F.avg("load_s").alias("load_s_avg"),
         F.sum("infer_s").alias("infer_s_total"),
         F.sum("pairs").alias("pairs"),
     )
     per_unit = _share(SCORED_UNIT * F.col("infer_s_total"), F.col("pairs"))
     return sums.select(
-        "checkpoint", "batches", "p50_batch_s", "load_s_avg", "infer_s_total",
-        _share(F.col("pairs"), F.col("infer_s_total")).alias("pairs_per_s"),
+        "checkpoint", "batches",
+        F.lit(exact_median(own, "infer_s")).cast("double").alias("p50_batch_s"),
+        "load_s_avg", "infer_s_total",
+        F.when(F.col("infer_s_total") > 0, F.col("pairs") / F.col("infer_s_total")).alias("pairs_per_s"),
         per_unit.alias("sec_per_1k"),
         (per_unit / SECONDS_PER_HOUR * cost_per_hour).alias("usd_per_1k"),
     )
 
 
-def score_metrics(scores: DataFrame, labeled: DataFrame, timing: DataFrame, checkpoint: str,
-                  cost_per_hour: float) -> DataFrame:
-    """One row for one checkpoint: AUC on test, invalid scores, and the timing measures."""
-    own = scores.where(F.col("checkpoint") == checkpoint)
-    test = own.join(labeled.where(F.col("split") == "test").select("pair_id", "is_match"), "pair_id")
-    labelled = own.join(labeled.select("pair_id"), "pair_id", "left_semi")
-    invalid = labelled.agg(F.count_if(F.col("p_same").isNull()).alias("invalid")).first()["invalid"]
-    row = timing_metrics(timing.where(F.col("checkpoint") == checkpoint), cost_per_hour)
-    return row.withColumns({
-        "auc_test": F.lit(auc(test, "p_same", "is_match")).cast("double"),
-        "invalid": F.lit(invalid).cast("bigint"),
-    })
-
-
 def volume_counts(entities: DataFrame, pairs: DataFrame, master: DataFrame) -> DataFrame:
     """(metric, value) rows."""
     def one(metric: str, df: DataFrame, value: Column) -> DataFrame:
