@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowkin.llm import fixity, sharding
+from rowkin.llm import fixity, neardup, sharding
 from rowkin.llm.tables import given
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -83,12 +83,34 @@ SELECT archive, left_root, right_root, 'intact', NULL, NULL, NULL FROM roots WHE
 
 OP2_SQL = op2_sql(fixity.MIN_LEVELS)
 
+def op6_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return neardup.near_duplicates(given(spark, folder, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items AS a JOIN items AS b USING (shingle) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM reached AS r JOIN links AS l ON l.x = r.other)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM sets JOIN reached USING (doc_id) GROUP BY doc_id, s"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fixity": op2_fixity,
+    "op6_neardup": op6_neardup,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL, "op6_neardup": OP6_SQL}
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
