@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowkin.llm import fixity, neardup, sharding
-from rowkin.llm.tables import given
+from rowkin.llm import fixity, langid, neardup, repetition, sharding
+from rowkin.llm.tables import given, remainder
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
@@ -104,10 +104,22 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, min(other) AS component_id, doc_id
 FROM sets JOIN reached USING (doc_id) GROUP BY doc_id, s"""
 
 
+def op7_langid(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document; a quarter of the documents is held out from learning."""
+    return langid.identify(given(spark, folder, "documents"), remainder("doc_id", 4) == 2)
+
+
+def op8_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """The repetition verdict on every document."""
+    return repetition.judge(given(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fixity": op2_fixity,
     "op6_neardup": op6_neardup,
+    "op7_langid": op7_langid,
+    "op8_repetition": op8_repetition,
 }
 
 ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL, "op6_neardup": OP6_SQL}
