@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowkin.llm import fixity, langid, neardup, repetition, sharding
+from rowkin.llm import fixity, langid, mixing, neardup, repetition, sharding, urltree
 from rowkin.llm.tables import given, remainder
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -114,12 +114,37 @@ def op8_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.judge(given(spark, folder, "documents"))
 
 
+# The given rules.
+URL_RULES = (urltree.Rule("block", "net", "/"), urltree.Rule("allow", "example.net", "/en/"),
+             urltree.Rule("block", "example.com", "/de/"), urltree.Rule("allow", "org", "/fr/"))
+MIX_TARGETS = {"clean": 0.85, "toxic": 0.01, "poor": 0.14}
+
+
+def op9_urltree(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's url; pages are labelled by the labels of their number."""
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    labels = given(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return urltree.judge(given(spark, folder, "pages").select("page_id", "url"), labels, URL_RULES)
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate and memberships of every document for the target weights."""
+    return mixing.mix(given(spark, folder, "documents"), domain_labels(given(spark, folder, "labels")), MIX_TARGETS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fixity": op2_fixity,
     "op6_neardup": op6_neardup,
     "op7_langid": op7_langid,
     "op8_repetition": op8_repetition,
+    "op9_urltree": op9_urltree,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL, "op6_neardup": OP6_SQL}
