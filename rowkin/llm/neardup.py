@@ -13,9 +13,10 @@ How it stays linear in the documents:
   pairs of half keys are formed; most sets end here.
 * In a table cell all sets are compared with the cell's first set alone. That joins almost all of a
   group of near copies. What is left are sets that meet in a cell and are in different components
-  still. Those are paired by their half keys of the first collection if their sizes allow a link
-  and a longer signature does not rule it out (512 min-hashes; a pair of similarity 0.75 is ruled
-  out with a probability of 4e-6). A pair is made once, at its first common half key.
+  still. Those are paired by their half keys of the first collection, each pair once, at its first
+  common half key.
+* Full sets are fetched only for pairs whose sizes allow a link and whose longer signatures do not
+  rule it out (512 min-hashes; a pair of similarity 0.75 is ruled out with a probability of 4e-6).
 * Frequent keys are counted before the shuffle; the joins on them can be split by the engine,
   for no aggregate stands on top of their shuffles.
 """
@@ -132,6 +133,23 @@ def similar_sizes(left: str, right: str) -> F.Column:
     return F.least(left, right) * whole >= F.greatest(left, right) * part
 
 
+def alike_signatures() -> F.Column:
+    """Whether the signatures a_planes and b_planes leave room for the similarity."""
+    def differing(word: int) -> F.Column:
+        planes = [F.col("a_planes")[4 * word + i].bitwiseXOR(F.col("b_planes")[4 * word + i]) for i in range(4)]
+        return F.bit_count(planes[0].bitwiseOR(planes[1]).bitwiseOR(planes[2]).bitwiseOR(planes[3]))
+
+    odd = sum((differing(w) for w in range(1, sh.Signer.LANES // 64)), differing(0))
+    return odd <= sh.Signer.LANES - LEAST_AGREEING
+
+
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their signatures do not rule out."""
+    for end in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("v").alias(end), F.col("planes").alias(f"{end}_planes")), end)
+    return pairs.where(alike_signatures()).select("a", "b")
+
+
 def unlike_roots(rest: DataFrame, halves: int) -> DataFrame:
     """Pairs (a, b) of ``rest`` (v, n, root, halves, planes) that may be similar and have different roots."""
     first = rest.withColumn("first", F.slice("halves", 1, halves)).drop("halves")
@@ -141,14 +159,9 @@ def unlike_roots(rest: DataFrame, halves: int) -> DataFrame:
     left, right = (rows.select("half", "at", *[F.col(c).alias(f"{side}_{c}") for c in ("v", "n", "root", "planes", "first")])
                    for side in ("a", "b"))
 
-    def differing(word: int) -> F.Column:
-        planes = [F.col("a_planes")[4 * word + i].bitwiseXOR(F.col("b_planes")[4 * word + i]) for i in range(4)]
-        return F.bit_count(planes[0].bitwiseOR(planes[1]).bitwiseOR(planes[2]).bitwiseOR(planes[3]))
-
-    odd = sum((differing(w) for w in range(1, sh.Signer.LANES // 64)), differing(0))
     at = F.array_position(F.zip_with("a_first", "b_first", lambda x, y: x == y), True) - 1
     alike = (F.col("a_v") > F.col("b_v")) & (F.col("a_root") != F.col("b_root")) & similar_sizes("a_n", "b_n")
-    pairs = left.join(right.drop("at"), "half").where(alike & (odd <= sh.Signer.LANES - LEAST_AGREEING) & (at == F.col("at")))
+    pairs = left.join(right.drop("at"), "half").where(alike & alike_signatures() & (at == F.col("at")))
     return pairs.select(F.col("a_v").alias("a"), F.col("b_v").alias("b"))
 
 
@@ -189,7 +202,7 @@ def near_duplicates(docs: DataFrame, halves: int = HALVES, per_half: int = PER_H
     sets = named.select("text").mapInPandas(_full_sets, "digest binary, shingles binary, planes array<long>").join(wanted.select("digest", "v"), "digest")
     sets = stage(sets.select("v", "shingles", "planes").dropDuplicates(["v"]), "sets")
 
-    links = stage(confirm(starred, sets), "star-links")
+    links = stage(confirm(stage(plausible(starred, sets), "plausible"), sets), "star-links")
     roots = components(links)
     rooted = cells.join(roots, "v", "left").select("cell", "v", "n", F.coalesce("root", "v").alias("root"))
     open_cells = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
