@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowkin.llm import fixity, langid, mixing, neardup, repetition, sharding, urltree
+from rowkin.llm import bpe, fixity, langid, mixing, neardup, repetition, sharding, topk, urltree
 from rowkin.llm.tables import given, remainder
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -83,6 +83,33 @@ SELECT archive, left_root, right_root, 'intact', NULL, NULL, NULL FROM roots WHE
 
 OP2_SQL = op2_sql(fixity.MIN_LEVELS)
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids and decoded text of every document, as digests."""
+    return bpe.digests(bpe.encode(given(spark, folder, "documents"), vocabulary()))
+
+
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 largest inner products of every twentieth vector with all others."""
+    return topk.top_products(given(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+OP5_SQL = """
+WITH clean AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM clean AS q JOIN clean AS c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20"""
+
+
 def op6_neardup(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate group of every document."""
     return neardup.near_duplicates(given(spark, folder, "documents"))
@@ -140,6 +167,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fixity": op2_fixity,
+    "op3_bpe": op3_bpe,
+    "op5_topk": op5_topk,
     "op6_neardup": op6_neardup,
     "op7_langid": op7_langid,
     "op8_repetition": op8_repetition,
@@ -147,7 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL, "op6_neardup": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL, "op5_topk": OP5_SQL, "op6_neardup": OP6_SQL}
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
