@@ -22,9 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowkin.llm.tables import keep_texts, text_slices
+
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
 MAX_EXHAUSTIVE = 5  # up to so many languages every way to split them is a bit
@@ -167,30 +170,40 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _predicted(model: Model):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array([*model.languages, UNDETERMINED], object)
-        for batch in batches:
-            for part in slices(batch):
-                texts = part["text"].where(part["text"].notna(), None).tolist()
-                known = np.array([bool(model.languages) and has_letter(t) for t in texts], bool)
-                best, top, close = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
-                if known.any():
-                    best[known], top[known], close[known] = model.decode(model.margins([t for t, k in zip(texts, known, strict=True) if k]))
-                yield pd.concat([part.drop(columns="text"), pd.DataFrame(
-                    {"lang_pred": names[best], "score": top, "ambiguous": close}, index=part.index)], axis=1)
-
-    return work
+def labelled(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, ambiguity flag) of each text."""
+    known = np.array([bool(model.languages) and has_letter(t) for t in texts], bool)
+    best, top, close = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    if known.any():
+        best[known], top[known], close[known] = model.decode(model.margins([t for t, k in zip(texts, known, strict=True) if k]))
+    names = [*model.languages, UNDETERMINED]
+    return [names[i] for i in best], top, close
 
 
 def predict(texts: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns ``keep`` and lang_pred, score (0 to 1), ambiguous per row of ``texts``.
 
     A text that is null or has no letter gets ``und``, score 0. Columns to keep must not be named
-    like the results or ``text``.
+    like the results.
     """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in text_slices(batches):
+            names, top, close = labelled(own, model)
+            kept = [part.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(top), pa.array(close)],
+                                             names=[*keep, "lang_pred", "score", "ambiguous"])
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema.fields)
-    return texts.select(*keep, "text").mapInPandas(_predicted(model), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return texts.select(*keep, "text").mapInArrow(work, f"{schema}, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows whose language was determined and is not ambiguous."""
+    def sure(texts: list[str | None]) -> np.ndarray:
+        names, _, close = labelled(texts, model)
+        return (np.array(names, object) != UNDETERMINED) & ~close
+
+    return keep_texts(docs, sure)
 
 
 def identify(docs: DataFrame, held_out: Column) -> DataFrame:

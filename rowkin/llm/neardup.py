@@ -172,9 +172,9 @@ def near_duplicates(docs: DataFrame, halves: int = HALVES, per_half: int = PER_H
     doc_id stay separate; component_id is the smallest doc_id of the rows linked with a row, itself
     included, and null if these have no doc_id. kept is true where doc_id equals component_id.
     """
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, since pandas would make null ids floats
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = stage(texts.mapInPandas(_sketched(halves, per_half), f"doc_id {id_type}, n_shingles long, digest binary, halves array<long>"), "sketches")
+    rows = stage(texts.mapInPandas(_sketched(halves, per_half), "doc_id string, n_shingles long, digest binary, halves array<long>").withColumn("doc_id", F.col("doc_id").cast(id_type)), "sketches")
 
     grouped = rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves"))
@@ -219,3 +219,15 @@ def near_duplicates(docs: DataFrame, halves: int = HALVES, per_half: int = PER_H
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with all their columns: of each group the row with the smallest doc_id, and all rows without words.
+
+    Groups are formed over rows, so rows that repeat a doc_id or have none are told apart.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    grouped = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", "doc_id").join(grouped, "_row")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowkin.llm import bpe, fixity, langid, mixing, neardup, repetition, sharding, topk, urltree
+from rowkin.llm import bpe, fixity, interpolation, langid, mixing, neardup, repetition, sharding, topk, urltree
 from rowkin.llm.tables import given, remainder
 
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
@@ -94,6 +94,11 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode(given(spark, folder, "documents"), vocabulary()))
 
 
+def op4_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    """The language-model score of every document; a seventh is held out, a seventh gives the weights."""
+    return interpolation.score(given(spark, folder, "documents"), remainder("doc_id", 7) == 2, remainder("doc_id", 7) == 3)
+
+
 def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 largest inner products of every twentieth vector with all others."""
     return topk.top_products(given(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
@@ -168,6 +173,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fixity": op2_fixity,
     "op3_bpe": op3_bpe,
+    "op4_interpolation": op4_interpolation,
     "op5_topk": op5_topk,
     "op6_neardup": op6_neardup,
     "op7_langid": op7_langid,
@@ -180,4 +186,6 @@ ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL, "op5_t
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    import corpus_pipeline
+
+    return QUERIES | {"pipeline": corpus_pipeline.run}

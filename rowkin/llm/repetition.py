@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from rowkin.llm.tables import keep_texts, text_slices
+
 MIN_REPEAT = 10  # words
 MAX_COVERED = 0.5  # share of the words that lie in repeats
 MAX_REPEAT = 200  # words of the longest repeat
 MIN_WORDS = 50
 MAX_WINDOWS = 50  # per cent of words in repeated three-word windows
-SLICE_CHARS = 1 << 20
 
 # White space between words, and the characters that count as symbols.
 SPACES = " \t\n\x0b\x0c\r"
@@ -132,14 +134,15 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
-def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        size = batch["text"].str.len().fillna(0).cumsum()
-        for _, part in batch.groupby((size // SLICE_CHARS).to_numpy(), sort=False):
-            found = measure([t if isinstance(t, str) else "" for t in part["text"]])
-            failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_WINDOWS * found["n_words"])
-            fine = (found["covered_words"] <= MAX_COVERED * found["n_words"]) & (found["longest_repeat"] <= MAX_REPEAT)
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **found, "base_failed": failed, "kept": ~failed & fine})
+def verdicts(texts: list[str | None]) -> dict[str, np.ndarray]:
+    """The figures, base_failed and kept of each text."""
+    found = measure([t or "" for t in texts])
+    failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_WINDOWS * found["n_words"])
+    fine = (found["covered_words"] <= MAX_COVERED * found["n_words"]) & (found["longest_repeat"] <= MAX_REPEAT)
+    return found | {"base_failed": failed, "kept": ~failed & fine}
+
+
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -148,8 +151,15 @@ def judge(docs: DataFrame) -> DataFrame:
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     covered_words, longest_repeat. Rows are judged one by one, so ids may be null or repeat.
     """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
-    schema = f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in figures) + ", base_failed boolean, kept boolean"
-    judged = docs.select("doc_id", "text").mapInPandas(_judged, schema)
-    return judged.select("doc_id", *figures[:5], "base_failed", "kept", *figures[5:])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            found = verdicts(texts)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(found[c]) for c in COLUMNS]], names=["doc_id", *COLUMNS])
+
+    kinds = [f"{c} {'boolean' if c in ('base_failed', 'kept') else 'long'}" for c in COLUMNS]
+    return docs.select("doc_id", "text").mapInArrow(work, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *kinds]))
+
+
+def keep_clean(docs: DataFrame) -> DataFrame:
+    """Rows whose text passes."""
+    return keep_texts(docs, lambda texts: verdicts(texts)["kept"])
