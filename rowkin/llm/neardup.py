@@ -60,8 +60,9 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes, signer = sh.WordHashes(), sh.Signer()
     for batch in batches:
         found = [s for s in (sh.shingle_set(text, hashes) for text in batch["text"]) if len(s)]
-        yield pd.DataFrame({"digest": [sh.set_digest(s) for s in found], "shingles": [s.tobytes() for s in found],
-                            "planes": [signer.planes(s) for s in found]}, columns=["digest", "shingles", "planes"])
+        if found:
+            yield pd.DataFrame({"digest": [sh.set_digest(s) for s in found], "shingles": [s.tobytes() for s in found],
+                                "planes": [signer.planes(s) for s in found]})
 
 
 def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

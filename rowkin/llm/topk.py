@@ -49,7 +49,8 @@ def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids.append(vec_id)
                 vectors.append(v)
                 lengths.append(float(np.sqrt((v * v).sum())))
-        yield pd.DataFrame({"vec_id": pd.array(ids, dtype="Int64"), "vector": vectors, "length": lengths}, columns=["vec_id", "vector", "length"])
+        if ids:
+            yield pd.DataFrame({"vec_id": ids, "vector": vectors, "length": lengths})
 
 
 def _packed(keys: list[str], with_floor: bool):
