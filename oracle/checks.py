@@ -6,11 +6,7 @@ the Spark expressions: thresholds by direct scan, clusters by transitive closure
 
 from __future__ import annotations
 
-import os
-
-_HERE = os.path.dirname(os.path.abspath(__file__))
-with open(os.path.join(_HERE, "source_rows.sql"), encoding="utf-8") as _f:
-    SOURCE_ROWS = "".join(line for line in _f if not line.startswith("--")).strip()
+from rowkin.plans.fixture import ROWS_SQL as SOURCE_ROWS
 
 AREAS = ("11|220|221|223|230|236|237|249|260|261|263|264|266|280|291|294|297|298|299|336|341|342|343|345|348|351|353|"
          "358|362|364|370|376|379|380|381|383|385|387|388")
@@ -136,13 +132,23 @@ billing_entities AS ({_entities('billing', 'billing_id', 'given', 'family', 'CAS
 entities AS MATERIALIZED (SELECT * FROM crm_entities UNION ALL SELECT * FROM billing_entities),
 truth AS MATERIALIZED (SELECT src || ':' || id AS entity_key, person_id AS true_entity_id, {split_of('person_id')} AS split FROM w)"""
 
-BLOCKS = """blocks AS MATERIALIZED (
-  SELECT entity_key, 'e:' || email AS block FROM entities WHERE email IS NOT NULL
-  UNION ALL SELECT entity_key, 'p:' || phone_e164 FROM entities WHERE phone_e164 IS NOT NULL
-  UNION ALL SELECT entity_key, 's:' || family_soundex || '|' || city FROM entities WHERE family_soundex IS NOT NULL AND city IS NOT NULL),
-candidates AS MATERIALIZED (SELECT DISTINCT l.entity_key AS left_key, r.entity_key AS right_key FROM blocks l
-  JOIN blocks r ON l.block = r.block AND l.entity_key < r.entity_key
-  WHERE l.block NOT IN (SELECT block FROM blocks GROUP BY block HAVING count(*) > 50))"""
+def _sized(name: str, source: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY block) AS records FROM ({source}))"
+
+
+_KEYS = """SELECT entity_key, phone_e164, birth_date, given_name, unnest(list_filter(['e:' || email, 'p:' || phone_e164,
+    's:' || family_soundex || '|' || city], lambda x: x IS NOT NULL)) AS block FROM entities"""
+_GIVEN_SOUND = soundex("split_part(" + norm_text("given_name") + ", ' ', 1)")
+BLOCKS = f"""{_sized('blocks', _KEYS)},
+{_sized('finer', f"SELECT * EXCLUDE (records, block), block || '|g:' || coalesce({_GIVEN_SOUND}, '') AS block FROM blocks WHERE records > 50")},
+{_sized('finest', """SELECT * EXCLUDE (records, block, part), block || part AS block FROM (SELECT *, unnest(list_filter(['|y:' || year(birth_date),
+    '|t:' || right(phone_e164, 4)], lambda x: x IS NOT NULL)) AS part FROM finer WHERE records > 50)""")},
+grouped AS MATERIALIZED (SELECT level, list(entity_key ORDER BY entity_key) AS members FROM (
+    SELECT 0 AS level, entity_key, block, records FROM blocks UNION ALL SELECT 1, entity_key, block, records FROM finer
+    UNION ALL SELECT 2, entity_key, block, records FROM finest) WHERE records <= 50 GROUP BY level, block),
+met AS MATERIALIZED (SELECT level, members[i] AS left_key, unnest(members[i + 1:]) AS right_key
+    FROM (SELECT *, unnest(range(1, len(members))) AS i FROM grouped WHERE len(members) > 1)),
+candidates AS MATERIALIZED (SELECT DISTINCT left_key, right_key FROM met)"""
 
 
 def _agree(name: str, column: str) -> str:
@@ -185,8 +191,8 @@ matched AS MATERIALIZED (SELECT *, {lcs('nm_a', 'nm_b')} AS nm_lcs, {lcs('ad_a',
 features AS MATERIALIZED (SELECT substr(sha1(left_key || '|' || right_key), 1, 16) AS pair_id, left_key, right_key, email_agree, phone_agree,
   birth_agree, city_agree, {_similarity('nm')} AS name_sim, {_similarity('ad')} AS address_sim, birth_agree = -1 AS birth_date_conflict FROM matched),
 pairs AS MATERIALIZED (SELECT * FROM features WHERE email_agree = 1 OR phone_agree = 1 OR name_sim >= 0.6),
-labeled AS MATERIALIZED (SELECT p.*, gl.split, gl.true_entity_id = gr.true_entity_id AS is_match FROM pairs p
-  JOIN truth gl ON gl.entity_key = left_key JOIN truth gr ON gr.entity_key = right_key)"""
+known AS (SELECT map(list(entity_key), list({{'person': true_entity_id, 'split': split}})) AS of FROM truth),
+labeled AS MATERIALIZED (SELECT pairs.*, of[left_key].split AS split, of[left_key].person = of[right_key].person AS is_match FROM pairs, known)"""
 
 RULES = logistic((5.0, -0.9, 4.5, -1.0, 3.0, -2.5, 0.5, -0.5, 6.0, 4.0), -10.37)
 SECOND = logistic((3.0, -0.6, 2.5, -0.8, 2.0, -1.5, 0.3, -0.3, 4.0, 2.0, 6.0), -9.43, "p_same")
@@ -260,6 +266,8 @@ master AS MATERIALIZED (SELECT master_id, {', '.join(
 
 def statement(select: str) -> str:
     chain = [SOURCE_ROWS, ENTITIES, BLOCKS, FEATURES, DECISIONS, SECOND_STAGE, CLUSTERS]
+    if select.startswith("WITH "):
+        return "WITH RECURSIVE " + ",\n".join([*chain, select.removeprefix("WITH ")])
     return "WITH RECURSIVE " + ",\n".join(chain) + "\n" + select
 
 
@@ -359,6 +367,26 @@ _DECISION_CONTRACTS = _passed([
     _violations("decisions.pair_id reference", "decided", "pair_id NOT IN (SELECT pair_id FROM labeled)"),
 ])
 
+_SILVER_CONTRACTS = _passed([
+    _violations("entities.entity_key not null", "entities", "entity_key IS NULL"),
+    _violations("entities.source not null", "entities", "source IS NULL"),
+    _violations("entities.source_id not null", "entities", "source_id IS NULL"),
+    _violations("entities.source allowed", "entities", "source NOT IN ('crm', 'billing')"),
+    "SELECT 'entities columns', 0",
+    "SELECT 'entities(entity_key) unique', count(entity_key) - count(DISTINCT entity_key) FROM entities",
+    *[_violations(f"pairs.{c} not null", "decided", f"{c} IS NULL") for c in ("pair_id", "left_key", "right_key", "p_match", "decision")],
+    _violations("pairs.decision allowed", "decided", "decision NOT IN ('MATCH', 'NON_MATCH', 'REVIEW')"),
+    *[_violations(f"pairs.{c} range", "decided", f"{c} < 0 OR {c} > 1") for c in ("p_match", "name_sim", "address_sim")],
+    "SELECT 'pairs columns', 0",
+    "SELECT 'pairs(pair_id) unique', count(pair_id) - count(DISTINCT pair_id) FROM decided",
+    "SELECT 'pairs(left_key,right_key) unique', count(*) - count(DISTINCT (left_key, right_key)) FROM decided",
+    *[_violations(f"pairs.{c} reference", "decided", f"{c} NOT IN (SELECT entity_key FROM entities)") for c in ("left_key", "right_key")],
+])
+
+
+_EVEN = "right(of[left_key].person, 1)::INT % 2 = 0 AND right(of[right_key].person, 1)::INT % 2 = 0"
+
+
 ORACLE: dict[str, str] = {name: statement(select) for name, select in {
     "source_rows": "SELECT src, id, person_id, given, family, email, phone, birth, address, city, r_case, updated_at FROM w",
     "ground_truth": "SELECT entity_key, true_entity_id, split FROM truth",
@@ -368,6 +396,19 @@ ORACLE: dict[str, str] = {name: statement(select) for name, select in {
     "entities_all": ENTITY_SELECT + "entities",
     "block_sizes": "SELECT block, count(*) AS records FROM blocks GROUP BY block",
     "candidate_pairs": "SELECT left_key, right_key FROM candidates",
+    "refined_pairs": "SELECT DISTINCT left_key, right_key FROM met WHERE level > 0",
+    "oversized_blocks": "SELECT block, count(*) AS records, count(*) * (count(*) - 1) // 2 AS pairs FROM finest WHERE records > 50 GROUP BY block",
+    "silver_contracts": _SILVER_CONTRACTS,
+    "half_labeled_decisions": f"""WITH half AS MATERIALIZED (SELECT scored.* EXCLUDE (is_match, split),
+  CASE WHEN {_EVEN} THEN is_match END AS is_match, CASE WHEN {_EVEN} THEN split END AS split FROM scored, known),
+{_curve('half_curve', 'half')},
+{_tuned('half_tuned', 'half_curve')}
+SELECT pair_id, is_match, {rounded('p_match', 'p_match')}, {_route('half_tuned')} AS decision FROM half""",
+    "failed_batches": """WITH small AS (SELECT pair_id, left_key, (row_number() OVER (ORDER BY pair_id) - 1) // 20 AS n FROM decided WHERE decision = 'REVIEW')
+SELECT 'partial' AS checkpoint, 'b' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS batch_id, count(*) AS pairs,
+  'ValueError: no model for this city' AS error FROM small JOIN entities ON entity_key = left_key GROUP BY n HAVING bool_or(city = 'nation 2')""",
+    "gate_drill_same_run": "SELECT count(*) AS masters, true AS refused, true AS unchanged FROM master",
+    "rerun_same_id": f"SELECT run_id, batch_id, checkpoint, pairs, load_s, {rounded('infer_s * 3', 'infer_s')} FROM timing",
     "pair_features": PAIR_SELECT + " FROM features",
     "pairs_filtered": PAIR_SELECT + " FROM pairs",
     "labeled_pairs": PAIR_SELECT + ", split, is_match FROM labeled",

@@ -1,4 +1,10 @@
-"""Candidate pairs: records that share an e-mail, a phone, or family sound + city."""
+"""Candidate pairs: records that share an e-mail, a phone, or family sound + city.
+
+A block with too many records says too little to compare them all. It is not dropped but refined:
+its records are split by the sound of the given name, and blocks that are still too large by birth
+year and by the ending of the phone number. Blocks that stay too large after that are reported with
+their records and the pairs that were not formed.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +13,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key shared by more records than this says too little to compare them.
-MAX_BLOCK_SIZE = 50
+from rowkin.functions.keys import family_key
+from rowkin.functions.text import norm_text
+from rowkin.operators.lookup import HOT_ROWS, hot_keys, lookup
+from rowkin.session import stage
 
-# The largest blocks are kept out of the shuffle by a broadcast of at most this many keys. After
-# that no block holds more than 1/HEAVIEST of all rows, whatever the data.
-HEAVIEST = 4096
+# A key shared by more records than this says too little to compare them all.
+MAX_BLOCK_SIZE = 50
+PHONE_ENDING = 4
 
 
 def block_rows(entities: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
@@ -30,27 +38,50 @@ def block_sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block").agg(F.count("*").alias("records"))
 
 
-def usable_rows(rows: DataFrame, max_block: int = MAX_BLOCK_SIZE) -> DataFrame:
-    """The rows of blocks with 2 to ``max_block`` records.
+def refinements() -> tuple[Column, Column]:
+    """The keys that split a block, level by level; a level may give a record several keys."""
+    given = F.array(F.concat(F.lit("|g:"), F.coalesce(family_key(norm_text("given_name")), F.lit(""))))
+    year_or_phone = F.array_compact(F.array(
+        F.concat(F.lit("|y:"), F.year("birth_date").cast("string")),
+        F.concat(F.lit("|t:"), F.right("phone_e164", F.lit(PHONE_ENDING))),
+    ))
+    return given, year_or_phone
 
-    Joining all rows with the block sizes would bring a block with a third of the rows into one
-    task only to drop it there. So the heaviest oversized blocks go first, by a broadcast of
-    bounded size and without moving a row; the join then decides exactly on the rest.
-    """
-    sizes = block_sizes(rows)
-    heaviest = sizes.where(F.col("records") > max_block).orderBy(F.desc("records")).limit(HEAVIEST)
-    movable = rows.join(F.broadcast(heaviest.select("block")), "block", "left_anti")
-    return movable.join(sizes.where(F.col("records").between(2, max_block)), "block", "left_semi")
 
+def refined_blocks(entities: DataFrame, max_block: int = MAX_BLOCK_SIZE, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """((entity_key, block, level) of blocks with 2 to ``max_block`` records, (block, records, pairs) of blocks that stay larger).
 
-def paired_rows(entities: DataFrame, carry: Iterable[str] = (), max_block: int = MAX_BLOCK_SIZE) -> DataFrame:
+    Works on keys alone. Each level counts its blocks and looks the counts up; frequent blocks are
+    looked up by a broadcast of bounded size, so a key that a third of all rows share stays spread.
+    """
+    given, year_or_phone = refinements()
+    rows = block_rows(entities.withColumns({"_given": given, "_later": year_or_phone}), ("_given", "_later"))
+    fitting: DataFrame | None = None
+    for level, finer in enumerate(("_given", "_later", None)):
+        sizes = stage(block_sizes(rows), "block-sizes")
+        sized = lookup(rows, sizes, "block", hot_keys(sizes, "block", "records", hot_rows))
+        fit = sized.where(F.col("records").between(2, max_block)).select("entity_key", "block", F.lit(level).alias("level"))
+        fitting = fit if fitting is None else fitting.unionByName(fit)
+        large = sizes.where(F.col("records") > max_block)
+        if finer is None or large.isEmpty():
+            break
+        rows = stage(sized.where(F.col("records") > max_block).select(
+            "entity_key", "_given", "_later", "block", F.explode(finer).alias("part")).select(
+            "entity_key", "_given", "_later", F.concat("block", "part").alias("block")), "refined")
+    pairs = F.expr("records * (records - 1) DIV 2").alias("pairs")
+    return fitting, large.select("block", "records", pairs)
+
+
+def paired_rows(entities: DataFrame, carry: Iterable[str] = (), max_block: int = MAX_BLOCK_SIZE, levels: Iterable[int] = (0, 1, 2)) -> DataFrame:
     """Both records of every pair inside a usable block, as ``left_…`` and ``right_…`` columns.
 
     A pair appears once per block it shares. Both sides of the join read the same shuffle.
     """
     carry = list(carry)
+    usable = refined_blocks(entities, max_block)[0].where(F.col("level").isin(list(levels))).select("entity_key", "block")
+    records = usable.join(entities.select("entity_key", *carry), "entity_key") if carry else usable
     # The shuffle a large join needs anyway; asking for it keeps small inputs parallel as well.
-    rows = usable_rows(block_rows(entities, carry), max_block).repartition("block")
+    rows = records.repartition("block")
 
     def side(name: str) -> DataFrame:
         named = [F.col(c).alias(f"{name}_{c}") for c in carry]
@@ -61,5 +92,10 @@ def paired_rows(entities: DataFrame, carry: Iterable[str] = (), max_block: int =
     return pairs.drop("left_block", "right_block")
 
 
-def candidate_pairs(entities: DataFrame, max_block: int = MAX_BLOCK_SIZE) -> DataFrame:
-    return paired_rows(entities, max_block=max_block).distinct()
+def candidate_pairs(entities: DataFrame, max_block: int = MAX_BLOCK_SIZE, levels: Iterable[int] = (0, 1, 2)) -> DataFrame:
+    return paired_rows(entities, max_block=max_block, levels=levels).distinct()
+
+
+def oversized_blocks(entities: DataFrame, max_block: int = MAX_BLOCK_SIZE) -> DataFrame:
+    """(block, records, pairs): blocks too large after all refinements, and how many pairs they did not form."""
+    return refined_blocks(entities, max_block)[1]

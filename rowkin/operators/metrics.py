@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 SECONDS_PER_HOUR = 3600
 SCORED_UNIT = 1000
 
-MEDIAN_ROWS, MEDIAN_STEPS = 100_000, 1000  # rows sorted in one task at most; steps per pass
+MEDIAN_ROWS, MEDIAN_STEPS = 1000, 1000  # rows sorted in one task at most; steps per pass
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -31,6 +31,12 @@ def blocking_recall(labeled: DataFrame, truth: DataFrame) -> DataFrame:
     return found.select("found", total_value.alias("true_pairs"), _share(F.col("found"), total_value).alias("recall"))
 
 
+def oversized_summary(oversized: DataFrame) -> DataFrame:
+    """One row: blocks that stayed too large, and the pairs they did not form."""
+    return oversized.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
+                         F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs_not_formed"))
+
+
 def config_metrics(decided: DataFrame, true_pairs_test: int) -> DataFrame:
     """One row per ``config`` on the test split; undefined shares are NULL."""
     match, non = F.col("decision") == "MATCH", F.col("decision") == "NON_MATCH"
@@ -110,10 +116,11 @@ def exact_median(values: DataFrame, column: str, in_one_task: int = MEDIAN_ROWS)
     """The median of a column, without sorting it in one task.
 
     Rows are counted in equal steps between the extremes, and only the steps that hold the middle
-    are looked at again, until few enough rows are left to sort. NULLs do not count.
+    are looked at again, until few enough rows are left to sort. NULLs, NaN and infinite values do
+    not count.
     """
     x = F.col(column)
-    rest = values.where(x.isNotNull()).select(x.cast("double").alias(column))
+    rest = values.select(x.cast("double").alias(column)).where(F.abs(x) < float("inf"))
     seen = rest.agg(F.count("*").alias("rows"), F.min(x).alias("low"), F.max(x).alias("high")).first()
     rows, low, high = seen["rows"], seen["low"], seen["high"]
     if not rows:

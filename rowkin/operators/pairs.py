@@ -69,15 +69,28 @@ def build_pairs(entities: DataFrame, max_block: int = MAX_BLOCK_SIZE) -> DataFra
     The compared fields travel with the block rows, so no pair has to look up its records again,
     and pairs found in several blocks are united only after the filter, when few are left.
     """
-    return filtered_features(paired_rows(entities, COMPARED, max_block)).distinct()
+    return filtered_features(paired_rows(entities, COMPARED, max_block)).dropDuplicates(["left_key", "right_key"])
+
+
+def marked_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """All pairs, with ``split`` and ``is_match`` where both records are labelled, else NULL.
+
+    The left record's split counts. Models and measures use the labelled rows, decisions are for all.
+    """
+    person = truth.select("entity_key", "true_entity_id", "split")
+    for side in ("left", "right"):
+        named = person.select(F.col("entity_key").alias(f"{side}_key"), F.struct("true_entity_id", "split").alias(f"{side}_label"))
+        pairs = pairs.join(named, f"{side}_key", "left")
+    known = F.col("left_label").isNotNull() & F.col("right_label").isNotNull()
+    return pairs.withColumns({
+        "split": F.when(known, F.col("left_label.split")),
+        "is_match": F.when(known, F.col("left_label.true_entity_id") == F.col("right_label.true_entity_id")),
+    }).drop("left_label", "right_label").select(*[c for c in PAIR_COLUMNS if c in pairs.columns], "split", "is_match")
 
 
 def labeled_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
-    """Pairs with both records labelled; the left record's split counts."""
-    left = truth.select(F.col("entity_key").alias("left_key"), "split", F.col("true_entity_id").alias("left_person"))
-    right = truth.select(F.col("entity_key").alias("right_key"), F.col("true_entity_id").alias("right_person"))
-    both = pairs.join(left, "left_key").join(right, "right_key")
-    return both.select(*pairs.columns, "split", (F.col("left_person") == F.col("right_person")).alias("is_match"))
+    """Pairs with both records labelled."""
+    return marked_pairs(pairs, truth).where(F.col("is_match").isNotNull())
 
 
 def split_assignment(persons: DataFrame) -> DataFrame:

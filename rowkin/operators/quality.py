@@ -51,6 +51,7 @@ class Contract:
     """What a table promises: columns, required columns, keys, allowed values, ranges, references."""
 
     columns: Sequence[str] = ()
+    types: Mapping[str, str] = field(default_factory=dict)
     required: Sequence[str] = ()
     keys: Sequence[Sequence[str]] = ()
     allowed: Mapping[str, Sequence[str]] = field(default_factory=dict)
@@ -67,9 +68,12 @@ def contract_checks(name: str, df: DataFrame, contract: Contract) -> DataFrame:
     for c, (low, high) in contract.ranges.items():
         failing[f"{name}.{c} range"] = ~F.col(c).between(low, high)
     if contract.columns:
-        odd = set(df.columns) ^ set(contract.columns)
-        failing[f"{name} columns"] = F.lit(bool(odd))
+        kinds = dict(df.dtypes)
+        odd = set(df.columns) ^ set(contract.columns) | {c for c, kind in contract.types.items() if kinds.get(c) != kind}
+        schema = df.sparkSession.range(1, numPartitions=1).select(
+            F.lit(f"{name} columns").alias("check"), F.lit(not odd).alias("passed"), F.lit(len(odd)).cast("bigint").alias("observed"))
     parts = [row_checks(df, failing)] if failing else []
+    parts += [schema] if contract.columns else []
     parts += [unique_check(f"{name}({','.join(keys)}) unique", df, keys) for keys in contract.keys]
     parts += [reference_check(f"{name}.{c} reference", df, c, parent, key)
               for c, (parent, key) in contract.references.items()]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,7 @@ class BatchScorer:
 
     name: str
     load: Callable[[], Callable[[Sequence[str], Sequence[str]], Sequence[object]]]
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)  # what workers keep the loaded model under
 
 
 @dataclass(frozen=True)
@@ -77,33 +79,34 @@ class ColumnScorer:
 
 _LOADED: dict[str, Callable] = {}
 
-SCORED_SCHEMA = "pair_id string, batch_id string, raw string, load_s double, infer_s double"
+SCORED_SCHEMA = "pair_id string, batch_id string, raw string, load_s double, infer_s double, error string"
 
 
 def _score_batch(scorer: BatchScorer, batch: pd.DataFrame) -> pd.DataFrame:
-    """Score one batch; a failed or short answer leaves every score of the batch empty."""
+    """Score one batch; a failed or short answer leaves every score of the batch empty and says why."""
     start = time.perf_counter()
     answers: Sequence[object] = []
-    loaded = start
+    loaded, error = start, None
     try:
-        if scorer.name not in _LOADED:
-            _LOADED[scorer.name] = scorer.load()
+        if scorer.key not in _LOADED:
+            _LOADED[scorer.key] = scorer.load()
         loaded = time.perf_counter()
-        answers = list(_LOADED[scorer.name](batch["record_a"].tolist(), batch["record_b"].tolist()))
-    except Exception:  # a scorer's error must never decide a pair
-        answers = []
+        answers = list(_LOADED[scorer.key](batch["record_a"].tolist(), batch["record_b"].tolist()))
+    except Exception as failure:  # a scorer's error must never decide a pair
+        answers, error = [], f"{type(failure).__name__}: {failure}"
     done = time.perf_counter()
     if len(answers) != len(batch):
+        error = error or f"{len(answers)} answers for {len(batch)} pairs"
         answers = [None] * len(batch)
     raw = [str(a) if isinstance(a, (int, float, str)) and not isinstance(a, bool) else None for a in answers]
     return pd.DataFrame({
         "pair_id": batch["pair_id"], "batch_id": batch["batch_id"], "raw": raw,
-        "load_s": loaded - start, "infer_s": done - loaded,
+        "load_s": loaded - start, "infer_s": done - loaded, "error": error,
     })
 
 
 def score_queue(texts: DataFrame, scorer: BatchScorer | ColumnScorer) -> DataFrame:
-    """(pair_id, batch_id, checkpoint, p_same, load_s, infer_s) of every pair in ``texts``.
+    """(pair_id, batch_id, checkpoint, p_same, load_s, infer_s, error) of every pair in ``texts``.
 
     Batches are the groups, so no task holds more than one batch. Write the result once: reading
     it twice would run the model twice.
@@ -111,14 +114,31 @@ def score_queue(texts: DataFrame, scorer: BatchScorer | ColumnScorer) -> DataFra
     if isinstance(scorer, ColumnScorer):
         raw = scorer.expression(F.col("record_a"), F.col("record_b"))
         scored = texts.select("pair_id", "batch_id", raw.alias("raw"),
-                              F.lit(0.0).alias("load_s"), F.lit(0.0).alias("infer_s"))
+                              F.lit(0.0).alias("load_s"), F.lit(0.0).alias("infer_s"), F.lit(None).cast("string").alias("error"))
     else:
         def run(batch: pd.DataFrame) -> pd.DataFrame:
             return _score_batch(scorer, batch)
 
         scored = texts.groupBy("batch_id").applyInPandas(run, SCORED_SCHEMA)
     return scored.select("pair_id", "batch_id", F.lit(scorer.name).alias("checkpoint"),
-                         valid_score(F.col("raw")).alias("p_same"), "load_s", "infer_s")
+                         valid_score(F.col("raw")).alias("p_same"), "load_s", "infer_s", "error")
+
+
+class ScorerFailed(RuntimeError):
+    """Every batch of a scorer failed."""
+
+
+def failed_batches(scored: DataFrame) -> DataFrame:
+    """(checkpoint, batch_id, pairs, error) of the batches that have no scores."""
+    return scored.where(F.col("error").isNotNull()).groupBy("checkpoint", "batch_id").agg(
+        F.count("*").alias("pairs"), F.min("error").alias("error"))
+
+
+def require_some(scored: DataFrame) -> None:
+    """Raise when there are pairs and every batch of them failed; single failed batches stay in REVIEW."""
+    seen = scored.agg(F.count("*").alias("pairs"), F.count("error").alias("failed"), F.min("error").alias("error")).first()
+    if seen["pairs"] and seen["failed"] == seen["pairs"]:
+        raise ScorerFailed(seen["error"])
 
 
 def batch_timing(scored: DataFrame, run_id: str) -> DataFrame:

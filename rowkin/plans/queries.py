@@ -19,17 +19,17 @@ from rowkin.operators import blocking, cascade, decide, digest, golden, metrics,
 from rowkin.operators.components import clusters, cross_reference
 from rowkin.operators.entities import ENTITY_COLUMNS, all_entities, billing_entities, crm_entities
 from rowkin.operators.upsert import overlay, upsert
-from rowkin.plans.run import RunConfig, build_gold, link, same_digest_as_last, score_review
-from rowkin.session import scratch_root, spread, stage
+from rowkin.plans import fixture as src
+from rowkin.plans.run import RunConfig, build_gold, entity_contracts, link, pair_contracts, same_digest_as_last, score_review
+from rowkin.session import scratch_root, stage
 from rowkin.sources import csv_tables
-from rowkin.sources import customer_sources as src
 from rowkin.sources.tables import Layers, VersionedTables
 
 # Given models, so that another engine can compute the same decisions: one weight per design
 # column (email, phone, birth, city: equal / different; name; address; second score).
 GIVEN_RULES = decide.Weights((5.0, -0.9, 4.5, -1.0, 3.0, -2.5, 0.5, -0.5, 6.0, 4.0), -10.37)
 GIVEN_SECOND = decide.Weights((3.0, -0.6, 2.5, -0.8, 2.0, -1.5, 0.3, -0.3, 4.0, 2.0, 6.0), -9.43)
-RUN_ID, SCORER = "given", "overlap"
+RUN_ID, SCORER, SMALL_BATCH = "given", "overlap", 20
 LOAD_SECONDS, SECONDS_PER_PAIR, COST_PER_HOUR = 10.0, 0.4, 0.30
 
 
@@ -63,7 +63,7 @@ class Tables:
         return os.path.join(scratch_root(self.spark), f"tables-{uuid.uuid4().hex}")
 
     def rows(self) -> DataFrame:
-        return src.source_rows(spread(self.given("customer").select("c_custkey")))
+        return src.source_rows(self.given("customer"), self.given("nation"))
 
     def truth(self) -> DataFrame:
         return src.ground_truth(self.rows())
@@ -117,8 +117,7 @@ def bronze_csv(t: Tables) -> DataFrame:
 
 
 def document_words(t: Tables) -> DataFrame:
-    documents = spread(t.given("documents").select("doc_id", "text"))
-    words = documents.select("doc_id", norm_text("text").alias("words"))
+    words = t.given("documents").select("doc_id", norm_text("text").alias("words"))
     return words.select("doc_id", F.length("words").cast("bigint").alias("n_chars"), F.md5("words").alias("digest"))
 
 
@@ -128,6 +127,21 @@ def block_sizes(t: Tables) -> DataFrame:
     return blocking.block_sizes(blocking.block_rows(t.entities()))
 
 
+def silver_contracts(t: Tables) -> DataFrame:
+    """The contracts that every run checks, on entities and decided pairs."""
+    entities = t.staged_entities()
+    decided = t.decided(entities).select(*pairs.PAIR_COLUMNS, "p_match", "decision", F.lit(None).cast("string").alias("batch_id"))
+    return entity_contracts(entities).unionByName(pair_contracts(stage(decided, "decided"), entities))
+
+
+def half_labeled_decisions(t: Tables) -> DataFrame:
+    """Labels for the persons with an even number only: all pairs are decided all the same."""
+    entities = t.staged_entities()
+    truth = t.truth().where(F.right("true_entity_id", F.lit(1)).cast("int") % 2 == 0)
+    marked = stage(pairs.marked_pairs(pairs.build_pairs(entities), truth), "marked")
+    return decide.decide(marked, GIVEN_RULES)[0].select("pair_id", "is_match", "p_match", "decision")
+
+
 def pair_features(t: Tables) -> DataFrame:
     entities = t.staged_entities()
     return pairs.pair_features(blocking.candidate_pairs(entities), entities)
@@ -185,6 +199,27 @@ def scored_queue(t: Tables) -> DataFrame:
     return scores.select("pair_id", "batch_id", "checkpoint", "p_same")
 
 
+NO_MODEL_FOR = "city=nation 2;"
+
+
+def _load_partial() -> Callable[[Sequence[str], Sequence[str]], list[float]]:
+    def score(left: Sequence[str], right: Sequence[str]) -> list[float]:
+        if any(NO_MODEL_FOR in text for text in left):
+            raise ValueError("no model for this city")
+        return [0.5] * len(left)
+
+    return score
+
+
+def failed_batches(t: Tables) -> DataFrame:
+    """Batches of the queue that a scorer could not score, and why."""
+    entities = t.staged_entities()
+    queue = t.decided(entities).where(F.col("decision") == "REVIEW")
+    batched = queue.join(scoring.plan_batches(queue, SMALL_BATCH), "pair_id")
+    scored = scoring.score_queue(scoring.scoring_input(batched, entities), scoring.BatchScorer("partial", _load_partial))
+    return scoring.failed_batches(scored)
+
+
 def cascade_fitted(t: Tables) -> DataFrame:
     rules, scores, _ = t.second_stage()
     return decide.decision_rows(cascade.run_cascade(rules, scores)[0])
@@ -250,7 +285,8 @@ def event_survivors(t: Tables) -> DataFrame:
 
 
 def quality_checks(t: Tables) -> DataFrame:
-    return quality.gold_checks(*t.gold())
+    master, xref, entities = t.gold()
+    return quality.gold_checks(stage(master, "master"), xref, entities)
 
 
 def gate_drill(t: Tables) -> DataFrame:
@@ -260,6 +296,44 @@ def gate_drill(t: Tables) -> DataFrame:
     return quality.gold_checks(master.unionByName(master.orderBy("master_id").limit(1)), xref, entities)
 
 
+def gate_drill_same_run(t: Tables) -> DataFrame:
+    """A second attempt under the same run id that the gate refuses: what readers see before and after."""
+    tables, config = VersionedTables(t.spark, t.scratch()), RunConfig(run_id="same")
+    names = ["customer_master", "customer_xref"]
+    master, xref, entities = t.gold()
+    master = stage(master, "master")
+    first = config.attempt()
+    tables.write(first, names[0], master), tables.write(first, names[1], xref.select("entity_key", "master_id"))
+    tables.publish(first, names)
+    before = digest.combined_digest(list(tables.snapshot(names).values()))
+    second = config.attempt()
+    doubled = tables.write(second, names[0], master.unionByName(master.orderBy("master_id").limit(1)))
+    tables.write(second, names[1], xref.select("entity_key", "master_id"))
+    refused = False
+    try:
+        quality.require(quality.gold_checks(doubled, xref, entities))
+        tables.publish(second, names)
+    except quality.GateFailed:
+        refused = True
+    now = tables.snapshot(names)
+    same = digest.combined_digest(list(now.values())) == before
+    return now[names[0]].agg(F.count("*").alias("masters")).select("masters", F.lit(refused).alias("refused"), F.lit(same).alias("unchanged"))
+
+
+def rerun_same_id(t: Tables) -> DataFrame:
+    """Two published attempts under one run id, and the timing of both put over each other."""
+    tables, config = VersionedTables(t.spark, t.scratch()), RunConfig(run_id=RUN_ID)
+    _, scores, _ = t.second_stage()
+    timing = stage(t.timing(scores), "timing")
+    for factor in (1.0, 3.0):
+        new = timing.withColumn("infer_s", F.col("infer_s") * factor)
+        old = tables.read("timing")
+        attempt = config.attempt()
+        tables.write(attempt, "timing", new if old is None else upsert(old, new, ("run_id", "batch_id", "checkpoint"), ("load_s", "infer_s")))
+        tables.publish(attempt, ["timing"])
+    return tables.read("timing")
+
+
 def order_contracts(t: Tables) -> DataFrame:
     orders, items = t.given("orders"), t.given("lineitem")
     on_orders = quality.Contract(
@@ -360,7 +434,14 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "entities_all": lambda t: t.entities().select(*ENTITY_COLUMNS),
     "document_words": document_words,
     "block_sizes": block_sizes,
-    "candidate_pairs": lambda t: blocking.candidate_pairs(t.entities()),
+    "candidate_pairs": lambda t: blocking.candidate_pairs(t.staged_entities()),
+    "refined_pairs": lambda t: blocking.candidate_pairs(t.staged_entities(), levels=(1, 2)),
+    "oversized_blocks": lambda t: blocking.oversized_blocks(t.staged_entities()),
+    "silver_contracts": silver_contracts,
+    "half_labeled_decisions": half_labeled_decisions,
+    "failed_batches": failed_batches,
+    "gate_drill_same_run": gate_drill_same_run,
+    "rerun_same_id": rerun_same_id,
     "pair_features": pair_features,
     "pairs_filtered": lambda t: pairs.build_pairs(t.staged_entities()),
     "labeled_pairs": lambda t: t.labeled(),

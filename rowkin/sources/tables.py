@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,13 @@ class Layers:
             return None
 
 
+class PublishConflict(RuntimeError):
+    """Another publisher took the same place in the commit list."""
+
+
 class VersionedTables:
     """Write, audit, publish: tables are written beside the current ones and become current by one
-    row appended to the commit list. That row is one file, so readers see all of it or nothing."""
+    commit. A commit is one folder named by its number, so readers see all of it or nothing."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -50,24 +55,37 @@ class VersionedTables:
 
     def _commits(self) -> DataFrame:
         try:
-            return self.spark.read.schema(_COMMIT_SCHEMA).parquet(os.path.join(self.root, "commits"))
+            return self.spark.read.schema(_COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(os.path.join(self.root, "commits"))
         except AnalysisException:
             return self.spark.createDataFrame([], _COMMIT_SCHEMA)
 
     def write(self, version: str, table: str, df: DataFrame) -> DataFrame:
-        """Write a table of a version that is not published yet."""
-        df.write.mode("overwrite").parquet(self._data(version, table))
+        """Write a table of a new version. A version is written once: never over data that may be current."""
+        df.write.mode("errorifexists").parquet(self._data(version, table))
         return self.spark.read.parquet(self._data(version, table))
 
-    def publish(self, version: str, tables: list[str]) -> None:
-        last = self._commits().agg(F.max("seq").alias("seq")).first()["seq"]
+    def last_seq(self) -> int:
+        return self._commits().agg(F.max("seq").alias("seq")).first()["seq"] or 0
+
+    def publish(self, version: str, tables: list[str], seq: int | None = None) -> None:
+        """Make a version current, as commit ``seq`` (the next one if not given). A taken number is refused."""
+        seq = self.last_seq() + 1 if seq is None else seq
         row = self.spark.range(1, numPartitions=1).select(
-            F.lit((last or 0) + 1).cast("bigint").alias("seq"),
+            F.lit(seq).cast("bigint").alias("seq"),
             F.lit(version).alias("version"),
             F.array(*[F.lit(t) for t in tables]).alias("tables"),
             F.current_timestamp().alias("committed_at"),
         )
-        row.write.mode("append").parquet(os.path.join(self.root, "commits"))
+        try:
+            row.write.mode("errorifexists").parquet(os.path.join(self.root, "commits", f"{seq:012d}"))
+        except AnalysisException as taken:
+            raise PublishConflict(f"commit {seq} exists already; {version} was not published") from taken
+
+    def snapshot(self, tables: Sequence[str]) -> dict[str, DataFrame | None]:
+        """The current version of all ``tables``, from one look at the commit list."""
+        latest = self._commits().select("seq", "version", F.explode("tables").alias("table")).where(F.col("table").isin(list(tables)))
+        found = {r["table"]: r["version"] for r in latest.groupBy("table").agg(F.max_by("version", "seq").alias("version")).collect()}
+        return {t: self.spark.read.parquet(self._data(found[t], t)) if t in found else None for t in tables}
 
     def current_version(self, table: str) -> str | None:
         row = self._commits().where(F.array_contains("tables", table)).agg(
@@ -75,5 +93,4 @@ class VersionedTables:
         return row["version"]
 
     def read(self, table: str) -> DataFrame | None:
-        version = self.current_version(table)
-        return None if version is None else self.spark.read.parquet(self._data(version, table))
+        return self.snapshot([table])[table]
