@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm import shingles as sh
+from rowkin.llm.tables import small_batches
 from rowkin.session import stage
 
 SIMILARITY = (75, 100)  # intersection to union, as a fraction
@@ -173,6 +174,11 @@ def near_duplicates(docs: DataFrame, halves: int = HALVES, per_half: int = PER_H
     doc_id stay separate; component_id is the smallest doc_id of the rows linked with a row, itself
     included, and null if these have no doc_id. kept is true where doc_id equals component_id.
     """
+    with small_batches(docs.sparkSession):  # rows hold texts, sketches or two full sets
+        return _grouped(docs, halves, per_half)
+
+
+def _grouped(docs: DataFrame, halves: int, per_half: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # as text, since pandas would make null ids floats
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = stage(texts.mapInPandas(_sketched(halves, per_half), "doc_id string, n_shingles long, digest binary, halves array<long>").withColumn("doc_id", F.col("doc_id").cast(id_type)), "sketches")
@@ -211,7 +217,7 @@ def near_duplicates(docs: DataFrame, halves: int = HALVES, per_half: int = PER_H
     pairs = unlike_roots(rest.join(vertices.select("v", "halves"), "v").join(sets.select("v", "planes"), "v"), halves)
     pairs = pairs.join(starred, ["a", "b"], "left_anti")
     more = confirm(stage(pairs, "pairs"), sets)
-    roots = components(links.unionByName(more))
+    roots = components(links.unionByName(more))  # written, so no Python runs after this
 
     placed = vertices.select("digest", "v", "first_id").join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +53,17 @@ def keep_texts(docs: DataFrame, judge: Callable[[list[str | None]], np.ndarray])
             yield part.filter(pa.array(judge(texts), pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
+
+
+BATCH_SIZE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Python workers get few rows at a time; for steps that run inside the block and have wide rows."""
+    before = spark.conf.get(BATCH_SIZE)
+    spark.conf.set(BATCH_SIZE, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SIZE, before)
