@@ -34,6 +34,7 @@ LEAST_SHARE = 1e-6  # of the equal share, so that no word is impossible
 
 _END = np.uint64(0x243F6A8885A308D3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+UNIT_CHARS = 4_000_000  # a token takes some 150 bytes of a worker's memory while its unit is looked at
 _PAIR_BYTES = 6  # of a pair's hash, beside the number of its block
 
 
@@ -191,7 +192,7 @@ def _scores(blocks: int, n_tokens: int, n_types: int, weights: np.ndarray):
     return scores
 
 
-def score(docs: DataFrame, held_out: Column, deleted: Column, chars: int = units.UNIT_CHARS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, deleted: Column, chars: int = UNIT_CHARS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
     Nothing is learned from ``held_out`` documents; among the others the ``deleted`` ones give the

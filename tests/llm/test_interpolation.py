@@ -68,7 +68,7 @@ def brute(docs):
     return out
 
 
-@pytest.mark.parametrize("chars", [lm.units.UNIT_CHARS, 700])
+@pytest.mark.parametrize("chars", [lm.UNIT_CHARS, 700])
 def test_equals_dictionaries(spark, chars):
     docs = corpus()
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("clash"))
