@@ -318,7 +318,7 @@ def _share(part: str, whole: str, name: str) -> str:
 
 def _auc(rows: str) -> str:
     """Mann-Whitney: the rank sum of the positives, ties at their mean rank."""
-    return f"""SELECT round((sum(mean_rank) FILTER (WHERE y) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6)::DOUBLE AS auc FROM (
+    return f"""SELECT round((sum(mean_rank) FILTER (WHERE y) - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0), 6)::DOUBLE AS auc FROM (
   SELECT y, s, count(*) FILTER (WHERE y) OVER () AS n1, count(*) FILTER (WHERE NOT y) OVER () AS n0,
     rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mean_rank FROM ({rows})) GROUP BY n1, n0"""
 
