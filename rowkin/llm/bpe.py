@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from rowkin.llm import units
 
 WORDS_AT_ONCE = 20_000
+UNIT_CHARS = 8_000_000
 
 
 @lru_cache(maxsize=4)
@@ -78,13 +79,21 @@ def _send(blocks: int):
     return send
 
 
+_SIZE_BYTES, _ID_BYTES = 4, 3  # of what a block answers: ids per word, and each id
+
+
 def _answer(path: str):
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         asked = [words.encode().split() for words in group["words"]]
         every = sorted(set().union(*asked))
-        ids = dict(zip(every, (" ".join(map(str, i)) for i in encoded([w.decode() for w in every], path)), strict=True))
-        return pd.DataFrame({"part": group["part"], "fold": group["fold"], "unit": group["unit"], "block": group["block"],
-                             "of": [zlib.crc32(w.encode()) for w in group["words"]], "ids": ["\n".join([ids[w] for w in words]) for words in asked]})
+        lists = dict(zip(every, encoded([w.decode() for w in every], path), strict=True))
+        out = {"part": group["part"], "fold": group["fold"], "unit": group["unit"], "block": group["block"],
+               "of": [zlib.crc32(w.encode()) for w in group["words"]], "sizes": [], "ids": []}
+        for words in asked:
+            own = [lists[w] for w in words]
+            out["sizes"].append(units.planes(np.array([len(i) for i in own], np.uint64), _SIZE_BYTES))
+            out["ids"].append(units.planes(np.array([i for x in own for i in x], np.uint64), _ID_BYTES))
+        return pd.DataFrame(out)
 
     return answer
 
@@ -94,24 +103,28 @@ def _placed(path: str, blocks: int):
         if packs.empty:
             return pd.DataFrame({"doc_id": [], "n_tokens": [], "ids": [], "decoded": []})
         doc_ids, texts = units.unpack(packs["payload"].iloc[0])
-        got = {b: (of, ids) for b, of, ids in zip(answers["block"], answers["of"], answers["ids"], strict=True)}
-        names, flat, sizes = piece_list(path), [], []
-        place_of, decoded = {}, []
+        got = {b: (of, sizes, ids) for b, of, sizes, ids in zip(answers["block"], answers["of"], answers["sizes"], answers["ids"], strict=True)}
+        names = np.array(piece_list(path), object)
+        place_of, flats, all_sizes = {}, [], []
         for block, words in enumerate(distinct_words(texts, blocks)):
             if not words:
                 continue
-            of, ids = got.get(block, (None, ""))
+            of, sizes, ids = got.get(block, (None, b"", b""))
             if of == zlib.crc32(" ".join(words).encode()):
-                lists = [[int(i) for i in x.split()] for x in ids.split("\n")]
+                sizes, ids = units.from_planes(sizes, _SIZE_BYTES), units.from_planes(ids, _ID_BYTES)
             else:  # the unit was cut differently than when it asked
                 lists = encoded(words, path)
-            for word, own in zip(words, lists, strict=True):
-                place_of[word.encode()] = len(sizes)
-                sizes.append(len(own))
-                flat += own
-                decoded.append(" ".join([names[i] for i in own]))
-        flat, sizes = np.array(flat, np.int32), np.array(sizes, np.int64)
-        starts = np.cumsum(sizes) - sizes
+                sizes, ids = np.array([len(i) for i in lists]), np.array([i for x in lists for i in x])
+            for word in words:
+                place_of[word.encode()] = len(place_of)
+            all_sizes.append(sizes.astype(np.int64))
+            flats.append(ids.astype(np.int32))
+        flat = np.concatenate([np.empty(0, np.int32), *flats])
+        sizes = np.concatenate([np.empty(0, np.int64), *all_sizes])
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        named = names[flat].tolist()
+        decoded = [" ".join(named[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         all_ids, all_texts, counts = [], [], []
         for text in texts:
             at = [place_of[w] for w in text.encode().split()]
@@ -126,7 +139,7 @@ def _placed(path: str, blocks: int):
     return place
 
 
-def encode(docs: DataFrame, path: str, chars: int = units.UNIT_CHARS) -> DataFrame:
+def encode(docs: DataFrame, path: str, chars: int = UNIT_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded) per row of ``docs``, of which doc_id and text are read.
 
     A null text is empty: no ids, decoded to empty text. Ids may be null or repeat; every row is encoded.
@@ -134,7 +147,7 @@ def encode(docs: DataFrame, path: str, chars: int = units.UNIT_CHARS) -> DataFra
     rows = units.numbered(units.repeatable(docs.select("doc_id", "text")), F.lit(0))
     blocks = units.blocks_for(docs)
     asked = units.items(rows, _send(blocks), "block int, words string", chars)
-    answers = asked.groupBy("block").applyInPandas(_answer(path), "part int, fold int, unit int, block int, of long, ids string")
+    answers = asked.groupBy("block").applyInPandas(_answer(path), "part int, fold int, unit int, block int, of long, sizes binary, ids binary")
     key = ["part", "fold", "unit"]
     placed = units.packs(rows, chars).groupBy(*key).cogroup(answers.groupBy(*key)).applyInPandas(
         _placed(path, blocks), "doc_id string, n_tokens long, ids array<int>, decoded string")
