@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from rowkin.llm.tables import keep_texts, text_slices
 
 MIN_REPEAT = 10  # words
-MAX_COVERED = 0.5  # share of the words that lie in repeats
-MAX_REPEAT = 200  # words of the longest repeat
+# Below the limit on windows, which words in long repeats count for too: at 0.5 it could never decide.
+MAX_COVERED = 0.43  # share of the words that lie in repeats
+MAX_REPEAT = 90  # words of the longest repeat
 MIN_WORDS = 50
 MAX_WINDOWS = 50  # per cent of words in repeated three-word windows
 

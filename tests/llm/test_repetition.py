@@ -55,6 +55,23 @@ def test_limits_of_the_method(spark):
     assert {r.doc_id: r.kept for r in rep.judge(frame).collect()} == {0: True, 1: False}
 
 
+def test_each_limit_alone_rejects_what_the_base_limit_passes(spark):
+    rng = random.Random(7)
+    fresh = lambda n: [f"{rng.getrandbits(40):x}" for _ in range(n)]
+    passage, block, short = fresh(100), fresh(150), fresh(60)
+    thrice = [*passage, *fresh(200), *passage, *fresh(200), *passage]
+    five_times = [w for _ in range(5) for w in [*block, *fresh(500)]]
+    covered = [w for _ in range(6) for w in [*short, *fresh(70)]]
+    clean = [*short, *fresh(400), *short]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((thrice, five_times, covered, clean))], "doc_id long, text string")
+    got = {r.doc_id: r for r in rep.judge(frame).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {0: False, 1: False, 2: False, 3: True}
+    assert got[1].longest_repeat == 150 and got[1].covered_words <= rep.MAX_COVERED * got[1].n_words
+    assert got[2].covered_words == 360 and got[2].longest_repeat == 60 <= rep.MAX_REPEAT
+    assert {r.doc_id for r in rep.keep_clean(frame).collect()} == {3}
+
+
 def test_empty_table_and_long_text(spark):
     assert rep.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     words = [f"w{i}" for i in range(20_000)]
