@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents as often as their rate for the target weights says."""
-    return mixing.take(docs, domain_labels(given(spark, folder, "labels")), MIX_TARGETS)
+    return mixing.take(docs, domain_labels(given(spark, folder, "labels")), MIX_TARGETS, words=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

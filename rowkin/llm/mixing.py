@@ -1,7 +1,10 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier learned from a table of labelled documents gives every document a probability per
-domain: naive Bayes over a document's source, language and coarse text statistics. Each document
+domain: naive Bayes over a document's source, language and coarse text statistics and, if asked for,
+its words. Words are counted by domain over all labelled texts; those whose log ratio between a
+domain and the others is surely not zero are summed over a document's distinct words, and the levels
+of the sums are one more feature, so its probabilities are counted from labels like all others. Each document
 then gets a rate, how often it is taken in the mean, such that the expected tokens per domain, the
 sum over documents of rate times tokens times membership, match the targets as well as rates from 0
 to MAX_RATE can: least squares by projected gradient steps, started at rate one.
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm.tables import count_words
+from rowkin.operators.lookup import hot_keys, lookup
 from rowkin.session import stage
 
 SMOOTHING = 1.0
@@ -31,8 +35,16 @@ LENGTHS = (1.0, 0.5, 0.2, 0.05)
 LEAST_GAIN = 1e-5  # a step that lowers the squared error by less than this share is the last
 BROADCAST_CELLS = 50_000  # more cells than this are joined by a shuffle
 
+NO_WORD = r"[^\p{L}\p{N}]+"
+SURE = 3.0  # standard errors from which on a word's log ratio counts
+WORD_LEVELS = (-4.0, -1.0, 1.0, 4.0)  # cuts of the summed log ratios
+WORD_UNIT = 1000  # log ratios are summed as whole numbers, so their order does not matter
+BROADCAST_WORDS = 20_000  # more words than this are joined by a shuffle
+
 FEATURES = ("_mix_source", "_mix_lang", "_mix_length", "_mix_symbols", "_mix_capitals", "_mix_digits")
+WORDS = "_mix_words"
 TOKENS = "_mix_tokens"
+ROW = "_mix_row"
 
 
 def with_features(docs: DataFrame) -> DataFrame:
@@ -52,7 +64,50 @@ def with_features(docs: DataFrame) -> DataFrame:
         "_mix_capitals": level("_mix_capitals", 0.005, 0.05, 0.3), "_mix_digits": level("_mix_digits", 0.0001, 0.01)})
 
 
-def membership(cells: DataFrame, domains: Sequence[str]) -> DataFrame:
+def _words(docs: DataFrame, *columns: str) -> DataFrame:
+    """One row per document and distinct word, in lower case."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NO_WORD))
+    return docs.select(*columns, F.explode(words).alias("word")).where("word <> ''")
+
+
+def word_weights(docs: DataFrame, known: DataFrame, domains: Sequence[str]) -> DataFrame:
+    """(word, seen, w0, w1, …): labelled documents with the word, and its log ratio per domain in 1/WORD_UNIT.
+
+    The ratio is of the word's share of the domain's labelled documents to that of all other
+    labelled ones; it is 0 if it may be by chance, and words with zeros only are left out.
+    """
+    k = len(domains)
+    labelled = docs.join(known, "doc_id")
+    of = docs.select("doc_id").join(known, "doc_id").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]).first()
+    each = [F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)]
+    counts = _words(labelled, "domain").groupBy("word").agg(F.count("*").alias("seen"), *each)
+
+    def weight(i: int) -> Column:
+        own, other = F.col(f"n{i}") + 0.5, F.col("seen") - F.col(f"n{i}") + 0.5
+        own_all, other_all = of[i] + 1.0, sum(of) - of[i] + 1.0
+        ratio = F.log(own / own_all) - F.log(other / other_all)
+        error = F.sqrt(1 / own - 1 / own_all + 1 / other - 1 / other_all)
+        return F.when(F.abs(ratio) > SURE * error, F.round(WORD_UNIT * ratio)).otherwise(0).cast("bigint").alias(f"w{i}")
+
+    weights = counts.select("word", "seen", *[weight(i) for i in range(k)])
+    return weights.where(" OR ".join(f"w{i} <> 0" for i in range(k)))
+
+
+def with_words(counted: DataFrame, docs: DataFrame, known: DataFrame, domains: Sequence[str]) -> DataFrame:
+    """``counted`` with the levels of the word scores; both tables have the row number, ``docs`` the texts."""
+    k = len(domains)
+    weights = stage(word_weights(docs, known, domains), "words")
+    if weights.count() <= BROADCAST_WORDS:
+        found = _words(docs, ROW).join(F.broadcast(weights), "word")
+    else:
+        found = lookup(_words(docs, ROW), weights, "word", hot_keys(weights, "word", "seen", 0))
+    scores = found.groupBy(ROW).agg(*[F.sum(f"w{i}").alias(f"_mix_score{i}") for i in range(k)])
+    value = [F.coalesce(F.col(f"_mix_score{i}"), F.lit(0)) for i in range(k)]
+    level = [sum((F.when(v >= int(c * WORD_UNIT), 1).otherwise(0) for c in WORD_LEVELS), F.lit(0)).cast("string") for v in value]
+    return counted.join(scores, ROW, "left").withColumn(WORDS, F.concat(*level)).drop(*[f"_mix_score{i}" for i in range(k)])
+
+
+def membership(cells: DataFrame, domains: Sequence[str], features: Sequence[str] = FEATURES) -> DataFrame:
     """``cells`` with the column ``p``, the probability of each domain.
 
     ``cells`` has the features and ``labelled``, an array with the number of labelled documents per
@@ -62,11 +117,11 @@ def membership(cells: DataFrame, domains: Sequence[str]) -> DataFrame:
     each = [F.sum(F.get("labelled", F.lit(i))).alias(f"n{i}") for i in range(k)]
     prior = cells.agg(*each).first()
     counts = [prior[i] or 0 for i in range(k)]
-    values = [F.count_distinct(f).alias(f) for f in FEATURES]
+    values = [F.count_distinct(f).alias(f) for f in features]
     distinct = cells.agg(*values).first()
     log_p = F.array(*[F.lit(float(c + SMOOTHING)) for c in counts])
     scored = cells.withColumn("log_p", F.transform(log_p, lambda v: F.log(v / (sum(counts) + SMOOTHING * k))))
-    for feature in FEATURES:
+    for feature in features:
         table = cells.groupBy(feature).agg(F.array(*each).alias("seen"))
         total = F.array(*[F.lit(float(c + SMOOTHING * distinct[feature])) for c in counts])
         likelihood = F.zip_with("seen", total, lambda s, t: F.log((s + SMOOTHING) / t))
@@ -146,41 +201,65 @@ def fit_rates(cells: DataFrame, targets: Sequence[float]) -> DataFrame:
     return cells.withColumn("rate", _rate(steps))
 
 
-def _rated_cells(counted: DataFrame, labels: DataFrame, domains: Sequence[str], targets: Mapping[str, float]) -> DataFrame:
-    known = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+def _known(labels: DataFrame, domains: Sequence[str]) -> DataFrame:
+    return labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _counted(docs: DataFrame, known: DataFrame, domains: Sequence[str], words: bool) -> tuple[DataFrame, tuple[str, ...]]:
+    """Features per row of ``docs`` without its text, and their names; with words, rows are numbered."""
+    counted = with_features(docs).drop("text", "source", "lang")
+    return (with_words(counted, docs, known, domains), (*FEATURES, WORDS)) if words else (counted, FEATURES)
+
+
+def _rated_cells(counted: DataFrame, known: DataFrame, domains: Sequence[str], targets: Mapping[str, float],
+                 features: Sequence[str]) -> DataFrame:
     marked = counted.join(known, "doc_id", "left")
     number = [F.count_if(F.col("domain") == d).cast("double") for d in domains]
-    cells = stage(marked.groupBy(*FEATURES).agg(F.sum(TOKENS).cast("double").alias(TOKENS), F.array(*number).alias("labelled")), "cells")
-    rated = fit_rates(stage(membership(cells, domains), "members"), [targets[d] for d in domains])
-    return stage(rated.select(*FEATURES, "rate", "p"), "rated")
+    cells = stage(marked.groupBy(*features).agg(F.sum(TOKENS).cast("double").alias(TOKENS), F.array(*number).alias("labelled")), "cells")
+    rated = fit_rates(stage(membership(cells, domains, features), "members"), [targets[d] for d in domains])
+    return stage(rated.select(*features, "rate", "p"), "rated")
 
 
-def _with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+def _with_cells(rows: DataFrame, cells: DataFrame, features: Sequence[str]) -> DataFrame:
     small = cells.count() <= BROADCAST_CELLS
-    return rows.join(F.broadcast(cells) if small else cells, list(FEATURES))
+    return rows.join(F.broadcast(cells) if small else cells, list(features))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float]) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], words: bool = False) -> DataFrame:
     """(doc_id, tokens, rate, and p_<domain> per domain) per row of ``docs``.
 
     ``labels`` is (doc_id, domain); labels of other domains, with nulls or for unknown documents are
     left out, and a document with several labels counts for its smallest. Rows that repeat a
     document or have no id are rows of their own; a text without words has no tokens but a rate.
+    ``words`` lets the classifier read the words of the texts.
     """
     domains = sorted(targets)
-    counted = stage(with_features(docs.select("doc_id", "text", "source", "lang")).drop("text", "source", "lang"), "features")
-    rated = _rated_cells(counted, labels, domains, targets)
+    known = _known(labels, domains)
+    docs = docs.select("doc_id", "text", "source", "lang")
+    counted, features = _counted(_numbered(docs) if words else docs, known, domains, words)
+    counted = stage(counted, "features")
+    rated = _rated_cells(counted, known, domains, targets, features)
     columns = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)]
-    return _with_cells(counted, rated).select("doc_id", F.col(TOKENS).alias("tokens"), "rate", *columns)
+    return _with_cells(counted, rated, features).select("doc_id", F.col(TOKENS).alias("tokens"), "rate", *columns)
 
 
-def take(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float]) -> DataFrame:
+def take(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], words: bool = False) -> DataFrame:
     """Rows of ``docs`` as often as their rate says: its whole part, and once more with the rest as probability.
 
     The draw is a hash of id and text, so a second run takes the same rows.
     """
-    rated = _rated_cells(with_features(docs.select("doc_id", "text", "source", "lang")).drop("text", "source", "lang"), labels, sorted(targets), targets)
+    domains, names = sorted(targets), docs.columns
+    known = _known(labels, domains)
+    docs = _numbered(docs) if words else docs
+    counted, features = _counted(docs.select("doc_id", "text", "source", "lang", *([ROW] if words else [])), known, domains, words)
+    counted = stage(counted, "features") if words else counted
+    rated = _rated_cells(counted, known, domains, targets, features)
     draw = (F.pmod(F.xxhash64(F.lit("take"), "doc_id", "text"), F.lit(1 << 20)) + 0.5) / (1 << 20)
     often = F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     copies = F.when(often > 0, F.sequence(F.lit(1), often.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return _with_cells(with_features(docs), rated).select(*docs.columns, F.explode(copies).alias("_mix_copy")).drop("_mix_copy")
+    rows = docs.join(_with_cells(counted, rated, features).select(ROW, "rate"), ROW) if words else _with_cells(with_features(docs), rated, features)
+    return rows.select(*names, F.explode(copies).alias("_mix_copy")).drop("_mix_copy")

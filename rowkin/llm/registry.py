@@ -166,7 +166,7 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Rate and memberships of every document for the target weights."""
-    return mixing.mix(given(spark, folder, "documents"), domain_labels(given(spark, folder, "labels")), MIX_TARGETS)
+    return mixing.mix(given(spark, folder, "documents"), domain_labels(given(spark, folder, "labels")), MIX_TARGETS, words=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -102,3 +102,65 @@ def test_take_follows_the_rates(spark):
 def test_no_python_on_the_path(spark):
     plan = mixing.mix(*frames(spark, *corpus(20)), TARGETS)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def worded(n=400):
+    """Documents alike but for a word that half of the bad ones have."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        text = [rng.choice(("one", "two", "six")) for _ in range(60)] + (["Vile!"] if bad and i % 8 == 0 else ["fine"])
+        docs.append((i, " ".join(text), "en", "a", 0))
+        if i % 3:
+            labels.append((i, "bad" if bad else "good"))
+    return [*docs, (None, None, None, None, None), docs[8]], labels
+
+
+@pytest.mark.parametrize("broadcast", [mixing.BROADCAST_WORDS, 0])
+def test_words_tell_documents_apart(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_WORDS", broadcast)
+    docs, labels = worded()
+    targets = {"good": 0.95, "bad": 0.05}
+    got = mixing.mix(*frames(spark, docs, labels), targets, words=True).collect()
+    assert len(got) == len(docs)
+    vile = [r for r in got if r.doc_id is not None and r.doc_id % 8 == 0]
+    other = [r for r in got if r.doc_id is not None and r.doc_id % 8]
+    assert min(r.p_bad for r in vile) > 0.9 and max(r.p_bad for r in other) < 0.3
+    assert max(r.rate for r in vile) < min(r.rate for r in other)
+    coarse = mixing.mix(*frames(spark, docs[:400], labels), targets).collect()
+    assert max(r.p_bad for r in coarse) < 0.5
+
+
+def test_word_weights_equal_dictionaries(spark):
+    docs, labels = worded()
+    seen, of, known = Counter(), Counter(), dict(labels)
+    for i, text, *_ in docs:
+        if i in known:
+            of[known[i]] += 1
+            seen.update((w, known[i]) for w in set(text.lower().replace("!", "").split()))
+    want = {}
+    for word in {w for w, _ in seen}:
+        a, b = seen[word, "bad"] + 0.5, seen[word, "good"] + 0.5
+        n, m = of["bad"] + 1, of["good"] + 1
+        ratio = math.log(a / n) - math.log(b / m)
+        if abs(ratio) > mixing.SURE * math.sqrt(1 / a - 1 / n + 1 / b - 1 / m):
+            want[word] = (round(ratio * mixing.WORD_UNIT), -round(ratio * mixing.WORD_UNIT))
+    got = mixing.word_weights(*frames(spark, docs, labels), ["bad", "good"]).collect()
+    assert {r.word: (r.w0, r.w1) for r in got} == want and set(want) == {"vile", "fine"}
+
+
+def test_take_by_words_follows_the_rates(spark):
+    docs, labels = worded()
+    frame, marks = frames(spark, docs, labels)
+    rates = {r.doc_id: r.rate for r in mixing.mix(frame, marks, TARGETS, words=True).collect()}
+    taken = mixing.take(frame, marks, TARGETS, words=True)
+    often = Counter(r.doc_id for r in taken.collect())
+    assert taken.columns == frame.columns and often == Counter(r.doc_id for r in taken.collect())
+    assert all(math.floor(rates[i]) <= often[i] <= math.floor(rates[i]) + 1 for i in rates if i is not None and i != 8)
+    assert mixing.take(frame.limit(0), marks, TARGETS, words=True).count() == 0
+
+
+def test_no_python_on_the_path_of_words(spark):
+    plan = mixing.mix(*frames(spark, *worded(40)), TARGETS, words=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
