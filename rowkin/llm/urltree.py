@@ -26,8 +26,7 @@ from rowkin.operators.lookup import hot_keys, lookup
 from rowkin.session import stage
 
 DEPTH = 4  # levels of the tree; deeper segments are one wildcard together
-RARE_SHARE = 0.001  # of the pages below the parent
-RARE_PAGES = 3
+RARE_PAGES = 3  # fewer pages cannot have labels enough to differ from their siblings
 SAME_WITHIN = 1.96  # standard errors
 PRIOR_PAGES = 20.0
 LEAST_PURITY = 0.5
@@ -85,7 +84,7 @@ def templates(shapes: DataFrame, good_share: float) -> DataFrame:
         pooled = (F.col("all_good") + good_share) / (F.col("all_labelled") + 1)
         own = (F.col("good") + pooled) / (F.col("labelled") + 1)
         error = F.sqrt(pooled * (1 - pooled) / F.greatest("labelled", F.lit(1)))
-        rare = F.col("pages") < F.greatest(F.lit(RARE_PAGES), F.col("all_pages") * RARE_SHARE)
+        rare = F.col("pages") < RARE_PAGES
         same = F.abs(own - pooled) <= SAME_WITHIN * error
         chosen = judged.select("host", "template", "segment", F.when(rare | same, "*").otherwise(F.col("segment")).alias("kept_as"))
         rows = rows.join(chosen, ["host", "template", "segment"], "left").withColumn(

@@ -82,6 +82,14 @@ def test_alike_branches_merge(spark):
     assert rows[0].purity == pytest.approx((sum(good.values()) + urltree.PRIOR_PAGES * share) / (len(good) + urltree.PRIOR_PAGES))
 
 
+def test_a_small_branch_of_a_large_host_keeps_its_verdict(spark):
+    many = spark.range(40_000).selectExpr("id AS page_id", "concat('http://a.com/', if(id < 30, 'casino', 'news'), '/', id) AS url")
+    labels = many.where("page_id < 2000").selectExpr("page_id", "page_id >= 30 AND page_id % 10 > 0 AS good")
+    got = urltree.judge(many, labels, []).groupBy("template", "verdict").count().collect()
+    assert {(r.template, r.verdict, r["count"]) for r in got if "casino" in r.template} == {("/casino/*", "block", 30)}
+    assert sum(r["count"] for r in got if r.verdict == "block") == 30
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urltree.judge(empty, spark.createDataFrame([], "page_id long, good boolean"), URL_RULES).count() == 0
