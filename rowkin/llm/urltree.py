@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ from rowkin.llm.tables import lower_ascii
 from rowkin.operators.lookup import hot_keys, lookup
 from rowkin.session import stage
 
-DEPTH = 4  # levels of the tree; deeper segments are one wildcard together
 RARE_PAGES = 3  # fewer pages cannot have labels enough to differ from their siblings
 SAME_WITHIN = 1.96  # standard errors
 PRIOR_PAGES = 20.0
@@ -71,13 +71,13 @@ def templates(shapes: DataFrame, good_share: float) -> DataFrame:
 
     ``good_share`` is the share of good pages among all labelled ones.
     """
-    segments = F.split(F.regexp_replace("shape", "^/", ""), "/", DEPTH + 1)
-    rows = shapes.withColumn("segments", F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments))
-    rows = rows.withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
-        segment = F.get("segments", F.lit(level))
-        rows = rows.withColumn("segment", segment)
-        branch = rows.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(
+    segments = F.split(F.regexp_replace("shape", "^/", ""), "/")
+    rows = shapes.withColumn("segments", segments).withColumn("template", F.lit(""))
+    ended: list[DataFrame] = []
+    level = 0
+    while True:
+        rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
+        branch = rows.groupBy("host", "template", "segment").agg(
             *[F.sum(c).alias(c) for c in ("pages", "labelled", "good")])
         parent = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "good")])
         judged = branch.join(parent, ["host", "template"])
@@ -87,9 +87,14 @@ def templates(shapes: DataFrame, good_share: float) -> DataFrame:
         rare = F.col("pages") < RARE_PAGES
         same = F.abs(own - pooled) <= SAME_WITHIN * error
         chosen = judged.select("host", "template", "segment", F.when(rare | same, "*").otherwise(F.col("segment")).alias("kept_as"))
-        rows = rows.join(chosen, ["host", "template", "segment"], "left").withColumn(
-            "template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "kept_as")))
+        rows = rows.join(chosen, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), "kept_as"))
         rows = stage(rows.drop("segment", "kept_as"), "templates")
+        level += 1
+        ended.append(rows.where(F.size("segments") <= level))
+        rows = rows.where(F.size("segments") > level)
+        if rows.isEmpty():
+            break
+    rows = reduce(DataFrame.unionByName, ended)
     totals = rows.groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
     purity = (F.col("all_good") + PRIOR_PAGES * good_share) / (F.col("all_labelled") + PRIOR_PAGES)
     return rows.join(totals.withColumn("purity", purity), ["host", "template"]).select("host", "shape", "template", "purity")

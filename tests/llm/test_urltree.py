@@ -90,6 +90,13 @@ def test_a_small_branch_of_a_large_host_keeps_its_verdict(spark):
     assert sum(r["count"] for r in got if r.verdict == "block") == 30
 
 
+def test_whole_paths_are_judged(spark):
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('http://a.com/a/b/c/d/e/', if(id % 4 = 0, 'casino', 'news'), '/', id) AS url")
+    labels = pages.selectExpr("page_id", "page_id % 4 > 0 AS good")
+    got = {(r.template, r.verdict) for r in urltree.judge(pages, labels, []).collect()}
+    assert got == {("/*/*/*/*/*/casino/*", "block"), ("/*/*/*/*/*/news/*", "allow")}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urltree.judge(empty, spark.createDataFrame([], "page_id long, good boolean"), URL_RULES).count() == 0
