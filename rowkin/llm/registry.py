@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowkin.llm import bpe, fixity, interpolation, langid, mixing, neardup, repetition, sharding, topk, urltree
-from rowkin.llm.tables import given, remainder
+from rowkin.llm import bpe, fixity, interpolation, langid, mixing, neardup, phrases, repetition, runs, sharding, topk, transducer, urltree
+from rowkin.llm.tables import WORD, given, remainder
 
+CONTEXT = 2048  # tokens
 SHARDS = [f"shard-{i:02d}" for i in range(32)]
 
 
@@ -169,6 +170,72 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(given(spark, folder, "documents"), domain_labels(given(spark, folder, "labels")), MIX_TARGETS, words=True)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts repeat some of their words up to the end; a null id counts as empty text."""
+    hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    # Positions fit an int: a text has fewer words than bytes.
+    planted = F.expr("""array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')""")
+    marked = docs.select("doc_id", "text", (hashed % 10 == 0).alias("planted"), F.floor(hashed / 10).alias("g"))
+    split = marked.withColumn("words", F.when(F.col("planted"), words)).withColumn("n", F.size("words"))
+    split = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    split = split.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    return split.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, some of which are planted, and the digest of the text without their repeats."""
+    found = runs.find_runs(with_planted_runs(given(spark, folder, "documents")))
+    longest = F.element_at(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.when(x["length"] > y["length"], -1).otherwise(1))
+                                        .when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1))
+                                        .when(x["period"] < y["period"], -1).when(x["period"] > y["period"], 1).otherwise(0)), 1)
+    best = F.when(F.size("runs") > 0, longest)
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 strongest phrases of every language."""
+    return phrases.collocations(given(spark, folder, "documents"), 2_000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+split AS (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS pos FROM split),
+suffixes AS (SELECT lang, w1, lead(w1, 1) OVER p AS w2, lead(w1, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY piece ORDER BY pos)),
+one AS (SELECT lang, w1, count(*) AS f FROM suffixes GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS f FROM suffixes WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM suffixes WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+longer AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT lang, w1 || ' ' || w2 AS phrase, two.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM two JOIN one AS x USING (lang, w1) JOIN one AS y ON y.lang = two.lang AND y.w1 = two.w2 LEFT JOIN longer USING (lang, w1, w2)
+  WHERE longer.f IS NULL OR 100 * longer.f < 50 * two.f
+  UNION ALL
+  SELECT three.lang, three.w1 || ' ' || three.w2 || ' ' || w3, three.f, 1, x.f, y.f
+  FROM three JOIN one AS x ON x.lang = three.lang AND x.w1 = three.w1 JOIN two AS y ON y.lang = three.lang AND y.w1 = three.w2 AND y.w2 = three.w3
+  UNION ALL
+  SELECT three.lang, three.w1 || ' ' || three.w2 || ' ' || w3, three.f, 2, x.f, y.f
+  FROM three JOIN two AS x ON x.lang = three.lang AND x.w1 = three.w1 AND x.w2 = three.w2 JOIN one AS y ON y.lang = three.lang AND y.w1 = three.w3),
+scored AS (SELECT *, (1000000 * a::HUGEINT * a::HUGEINT // (l::HUGEINT * r::HUGEINT))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score
+FROM best JOIN (SELECT lang, sum(f) AS n FROM one GROUP BY lang) USING (lang) QUALIFY rank <= 2000"""
+
+
+def op13_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of tokens of every document."""
+    counted = transducer.count_tokens(given(spark, folder, "documents"), vocabulary())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fixity": op2_fixity,
@@ -180,9 +247,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repetition": op8_repetition,
     "op9_urltree": op9_urltree,
     "op10_mixing": op10_mixing,
+    "op11_runs": op11_runs,
+    "op12_phrases": op12_phrases,
+    "op13_transducer": op13_transducer,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL, "op5_topk": OP5_SQL, "op6_neardup": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": OP1_SQL, "op2_fixity": OP2_SQL, "op5_topk": OP5_SQL, "op6_neardup": OP6_SQL,
+                          "op12_phrases": OP12_SQL}
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
