@@ -45,7 +45,7 @@ from rowkin.session import stage
 
 CHUNK_CHARS = 1 << 16
 MAX_STATES = 200_000  # compiled at a time, per worker
-MAX_WORDS = 400_000  # remembered at a time, per worker
+MAX_WORDS = 400_000  # remembered at a time, and as many older ones, per worker
 
 FINAL = 256  # added to the last byte of a pre-token
 EMPTY, LETTERS, SIGNS, QUOTE = "", "L", "O", "'"
@@ -184,6 +184,7 @@ class Machine:
         self.normalised, self.split = loaded.normalizer.normalize_str, loaded.pre_tokenizer.pre_tokenize_str
         self.kinds: dict[str, str] = {}
         self.words: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}  # words that were remembered before the present ones
         self.forget()
 
     def forget(self) -> None:
@@ -282,24 +283,24 @@ class Machine:
         return self.states[at], emitted + n
 
     def _word(self, word: bytes) -> int:
-        stem = word[:-1]
-        if word[-1] in ENDS and stem.isalpha():  # a sign after a letter begins a pre-token of its own
+        stem, n = word[:-1], self.older.get(word)
+        if n is None and word[-1] in ENDS and stem.isalpha():  # a sign after a letter begins a pre-token of its own
             n = self.count(stem) + self.count(word[-1:])
-        else:
+        elif n is None:
             state, emitted = self._through(RESET, word.decode("utf-8"))
             n = emitted + self.closed(state)
         if len(self.words) >= MAX_WORDS:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         self.words[word] = n
         return n
 
     def count(self, text: bytes) -> int:
         """Tokens of a whole text."""
-        known, total = self.words.get, 0
+        total = 0
         if b"<" not in text:  # in special strings the case of letters matters
             text = text.lower()
         for word in text.split():
-            n = known(word)
+            n = self.words.get(word)
             total += self._word(word) if n is None else n
         return total
 
