@@ -3,17 +3,20 @@
 Candidate vectors are grouped by length, in steps of two per cent, and each group is dealt into
 blocks of bounded size: the buckets. Queries are dealt into blocks as well. A first pass over the
 longest vectors gives each query a score that its k-th result reaches at least. In the second pass
-a query meets only buckets whose length allows that score. What cosine the score still asks for
-inside a bucket, the local threshold, decides how candidates are pruned there: by coordinates when
-it is high (a vector that close to the query must lie near it in the query's largest coordinates),
-by length when it is low. Products of the rest are computed in full, so results are exact.
-
-Pairs of a bucket and a query block are rows; vectors are joined to them, so a task holds two
-blocks at a time and a group of equal or equally long vectors is spread over many buckets.
+a query meets only buckets whose length allows that score. Inside a bucket candidates are pruned by
+length, and what cosine the score still asks of the rest, the local threshold, decides whether they
+are pruned by coordinates as well: a vector that close to the query must lie near it in the query's
+largest coordinates. Products of what is left are computed in full, so results are exact.
+
+A task gets a block of queries and a stripe of buckets, of bounded size both. It takes the buckets in
+order of length, what it finds raises the scores asked for, and it returns the best per query and
+stripe. A group of equal or equally long vectors is spread over many buckets. Scores are clamped to
+what a 64-bit number holds.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -26,6 +29,7 @@ from rowkin.session import stage
 
 BUCKET = 2_048
 QUERIES_PER_BLOCK = 512
+STRIPE = 64  # buckets that a task meets with a block of queries
 LENGTH_STEP = math.log(1.02)
 COORDINATE_COSINE = 0.7  # from this local threshold on candidates are pruned by coordinates
 FOCUS = 4  # coordinates looked at
@@ -86,32 +90,34 @@ def candidates(unit: np.ndarray, lengths: np.ndarray, q: np.ndarray, q_length: f
     n = len(lengths)
     if floor <= 0 or not q_length or not lengths[0]:
         return np.arange(n) if floor <= 0 else np.arange(0)
-    cosine = floor / (q_length * lengths[0])
-    if cosine > 1 + SLACK:
+    if floor / (q_length * lengths[0]) > 1 + SLACK:
         return np.arange(0)
-    if cosine < COORDINATE_COSINE:
-        return np.arange(np.searchsorted(-lengths, -floor / q_length * (1 - SLACK), side="right"))
-    cosine = min(cosine, 1.0)
+    stop = np.searchsorted(-lengths, -floor / q_length * (1 - SLACK), side="right")
+    cosine = np.minimum(floor / (q_length * lengths[:stop]), 1.0)  # what each vector left needs
+    if not stop or cosine[0] < COORDINATE_COSINE:
+        return np.arange(stop)
     direction = q / q_length
-    keep = np.ones(n, bool)
+    keep = np.ones(stop, bool)
     for f in np.argsort(-np.abs(direction))[:FOCUS]:
-        reach = math.sqrt(max(0.0, (1 - cosine**2) * (1 - direction[f] ** 2))) + 1e-6
-        keep &= np.abs(unit[:, f] - direction[f] * cosine) <= reach + np.abs(direction[f]) * (1 - cosine)
+        reach = np.sqrt((1 - cosine**2) * (1 - min(direction[f] ** 2, 1.0))) + 1e-6
+        keep &= np.abs(unit[:stop, f] - direction[f] * cosine) <= reach + np.abs(direction[f]) * (1 - cosine)
     return np.flatnonzero(keep)
 
 
 def _best(k: int):
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                x, q = _matrix(r.vectors, r.members, r.width), _matrix(r.q_vectors, r.q_members, r.q_width)
-                width = max(r.width, r.q_width)  # a shorter vector has zeros at its end
-                x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
-                ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                floors = np.frombuffer(r.floors, np.float64)
-                lengths, q_lengths = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    def best(asked: pd.DataFrame, stripe: pd.DataFrame) -> pd.DataFrame:
+        """The best of a stripe of buckets for one block of queries, longest vectors first; what is found raises the floors."""
+        out = []
+        if not asked.empty and not stripe.empty:
+            a = asked.iloc[0]
+            queries, q_ids = _matrix(a.q_vectors, a.q_members, a.q_width), np.frombuffer(a.q_ids, np.int64)
+            floors = np.frombuffer(a.floors, np.float64).copy()
+            tops: list[list[tuple]] = [[] for _ in q_ids]  # (-score, vec_id), the best k
+            for r in stripe.sort_values("longest", ascending=False).itertuples(index=False):
+                x, width = _matrix(r.vectors, r.members, r.width), max(r.width, a.q_width)  # a shorter vector has zeros at its end
+                x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, queries))
+                ids, lengths, q_lengths = np.frombuffer(r.ids, np.int64), np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
                 unit = x / np.where(lengths > 0, lengths, 1)[:, None]
-                out = []
                 for i in range(len(q)):
                     at = candidates(unit, lengths, q[i], q_lengths[i], floors[i])
                     at = at[ids[at] != q_ids[i]]
@@ -121,13 +127,14 @@ def _best(k: int):
                     if len(at) > k:
                         least = np.partition(score, len(at) - k)[len(at) - k]
                         at, score = at[score >= least], score[score >= least]
-                    top = np.lexsort((ids[at], -score))[:k] if score.dtype != object else sorted(range(len(at)), key=lambda j: (-score[j], ids[at[j]]))[:k]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[at[top]],
-                                             "score": [max(-_LONG, min(_LONG, int(s))) for s in score[top]]}))
-                if out:
-                    yield pd.concat(out)
+                    found = zip((-int(s) for s in score.tolist()), ids[at].tolist(), strict=True)
+                    tops[i] = heapq.nsmallest(k, [*tops[i], *found])
+                    if len(tops[i]) == k:
+                        floors[i] = max(floors[i], float(-tops[i][-1][0]))
+            out = [(int(q), vec, max(-_LONG, min(_LONG, -minus))) for q, top in zip(q_ids, tops, strict=True) for minus, vec in top]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    return work
+    return best
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
@@ -161,6 +168,7 @@ def top_products(embeddings: DataFrame, is_query: Column, k: int) -> DataFrame:
         packed = rows.groupBy("block").applyInPandas(_packed(["block"], True), f"block long, {_BLOCK}, floors binary")
         return packed.select("block", "floors", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "width", "longest", "members")])
 
+    n_stripes = max(1, math.ceil(buckets.count() / STRIPE))
     # The longest vectors, enough of them for k results: a handful of buckets.
     order = buckets.select("cell", "part", "members", "longest").orderBy(F.desc("longest"), "part").limit(max(8, 2 * k)).collect()
     seeds, seen = [], 0
@@ -180,8 +188,10 @@ def top_products(embeddings: DataFrame, is_query: Column, k: int) -> DataFrame:
             reach = numbered.join(floors, "vec_id", "left").groupBy("block").agg(
                 F.min(F.coalesce(F.col("floor"), F.lit(float("-inf"))) / F.greatest("length", F.lit(1e-300))).alias("needs"))
             pairs = pairs.join(reach, "block").where((F.col("needs") <= 0) | (F.col("longest") * (1 + SLACK) >= F.col("needs")))
-        both = pairs.select("cell", "part", "block").join(chosen, ["cell", "part"]).join(blocks, "block")
-        return both.repartition("cell", "part", "block").drop("cell", "part", "block").mapInPandas(_best(k), "query_id long, vec_id long, score long")
+        stripes = pairs.select("cell", "part", "block", F.pmod(F.xxhash64("cell", "part"), F.lit(n_stripes)).alias("stripe"))
+        met_by = stripes.join(chosen, ["cell", "part"]).groupBy("block", "stripe")
+        asked = blocks.join(stripes.select(F.col("block").alias("of"), F.col("stripe").alias("number")).distinct(), F.col("block") == F.col("of"))
+        return asked.groupBy("of", "number").cogroup(met_by).applyInPandas(_best(k), "query_id long, vec_id long, score long")
 
     if not count:
         return _nothing(vectors)
