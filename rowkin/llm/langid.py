@@ -32,6 +32,7 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.5
 MAX_EXHAUSTIVE = 5  # up to so many languages every way to split them is a bit
 BITS_PER_LOG2 = 10  # with more languages, so many random bits per doubling of their number
+MAX_LANGUAGES = 512
 SHARPNESS = 4.0
 AMBIGUOUS_SHARE = 0.5  # below this share of the winner the row is flagged
 SLICE_BYTES = 1 << 20
@@ -132,7 +133,8 @@ def _hits(model: Model):
         size = np.zeros(model.code.shape[1])
         for batch in batches:
             for part in slices(batch):
-                lang = part["lang"].map(number).to_numpy()
+                part = part[part["lang"].isin(number)]
+                lang = part["lang"].map(number).to_numpy(int)
                 margins = model.margins(part["text"].tolist())
                 np.add.at(hits, lang, margins * model.code[lang] > 0)
                 np.add.at(seen, lang, 1)
@@ -144,10 +146,19 @@ def _hits(model: Model):
 
 
 def train(labelled: DataFrame) -> Model:
-    """Learn from (text, lang). Rows without a language or text teach nothing; no rows give a model without languages."""
+    """Learn from (text, lang).
+
+    Rows without a language or text teach nothing; no rows give a model without languages. A language
+    is known if one of its texts has a trigram: texts without any, an empty one for instance, teach
+    nothing, and a language that has only such texts is never predicted. The driver gets one number
+    per language and bucket, for ``MAX_LANGUAGES`` languages at most; more end with an error.
+    """
     rows = labelled.select("text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counted = rows.mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(
+        MAX_LANGUAGES * BUCKETS + 1).toPandas()
     languages = sorted(counted["lang"].unique())
+    if len(counted) > MAX_LANGUAGES * BUCKETS:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: clean the column of languages first")
     share = np.full((len(languages), BUCKETS), SMOOTHING)
     share[counted["lang"].map({v: i for i, v in enumerate(languages)}).to_numpy(int), counted["bucket"].to_numpy(int)] += counted["n"].to_numpy(float)
     share /= share.sum(axis=1, keepdims=True) if languages else 1
