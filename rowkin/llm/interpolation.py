@@ -7,8 +7,9 @@ learned by expectation maximisation: counts from a part of the training document
 estimates, the other part, which the counts were deleted of, gives the events. Scores then use the
 counts of both parts.
 
-Words and pairs are counted through units of documents (see ``units``): a unit sends each distinct
-word and pair once, as a hash with its count; a block sums them up and answers with global counts.
+Words and pairs are counted through units of documents (see ``units``), which are written once: a
+unit sends each distinct word and pair once, as a hash with its count; a block sums them up and answers
+with global counts. The number of blocks follows that of the units, so a block's size is bounded.
 For the weights, events are summed up in a table whose size depends on its resolution alone
 (quarters of a power of two), which is what the driver gets. Every training token is counted.
 """
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from rowkin.llm import units
 from rowkin.llm.shingles import mixed
+from rowkin.llm.tables import small_batches
 from rowkin.session import stage
 
 LEARNED, DELETED, HELD_OUT = 0, 1, 2  # folds: counts, events for the weights, scored only
@@ -35,6 +37,7 @@ LEAST_SHARE = 1e-6  # of the equal share, so that no word is impossible
 _END = np.uint64(0x243F6A8885A308D3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 UNIT_CHARS = 4_000_000  # a token takes some 150 bytes of a worker's memory while its unit is looked at
+BLOCK_CHARS = 8_000_000  # of text per block, so that a block does not grow with the input; it gets some 60 bytes per word
 _PAIR_BYTES = 6  # of a pair's hash, beside the number of its block
 
 
@@ -86,16 +89,23 @@ class Unit:
             for out, cuts, data in ((word, self.word_cuts, words), (pair, self.pair_cuts, pairs)):
                 got = units.from_planes(data, 5)
                 if len(got) != cuts[block + 1] - cuts[block]:
-                    raise RuntimeError("a unit was cut differently in two passes; write the documents first")
+                    raise RuntimeError("a block gave no answer, or one of another size")
                 out[cuts[block]: cuts[block + 1]] = got
                 asked += len(got)
         if asked != len(self.word) + len(self.pair):
-            raise RuntimeError("a unit was cut differently in two passes; write the documents first")
+            raise RuntimeError("a block gave no answer, or one of another size")
         return word, pair
 
 
-def _send(blocks: int):
-    return lambda texts: Unit(texts, blocks).sent()
+def _sent(blocks: int):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, fold, unit, payload in batch.itertuples(index=False):
+                out = list(Unit(units.unpack(payload)[1], blocks).sent())
+                if out:
+                    yield pd.DataFrame(out).assign(part=part, fold=fold, unit=unit)
+
+    return work
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -201,16 +211,16 @@ def score(docs: DataFrame, held_out: Column, deleted: Column, chars: int = UNIT_
     all share what the weights leave for unknown words.
     """
     fold = F.when(held_out, HELD_OUT).when(deleted, DELETED).otherwise(LEARNED)
-    rows = units.numbered(units.repeatable(docs), fold)
-    blocks, key = units.blocks_for(docs), ["part", "fold", "unit"]
-    asked = units.items(rows, _send(blocks), "block int, words binary, word_n binary, pairs binary, pair_n binary", chars)
-    answers = stage(asked.groupBy("block").applyInPandas(_answer, _ANSWER), "counts")
+    spark, key = docs.sparkSession, ["part", "fold", "unit"]
+    packed = stage(units.packs(units.numbered(docs, fold), chars), "units")
+    blocks = max(units.blocks_for(docs), packed.count() * chars // BLOCK_CHARS)
+    with small_batches(spark, 4):  # a row is a unit
+        asked = packed.mapInPandas(_sent(blocks), "block int, words binary, word_n binary, pairs binary, pair_n binary, part int, fold int, unit int")
+        answers = stage(asked.groupBy("block").applyInPandas(_answer, _ANSWER), "counts")
     whole = answers.agg(*[F.sum(f"{a}_{b}").alias(f"{a}_{b}") for a in ("tokens", "types") for b in ("learned", "all")]).first()
     n_learned, n_tokens, n_types = (whole[c] or 0 for c in ("tokens_learned", "tokens_all", "types_all"))
 
-    packed = units.packs(rows, chars)
-    deleted_packs = units.packs(rows.where(F.col("fold") == DELETED), chars)
-    events = deleted_packs.groupBy(*key).cogroup(answers.where(F.col("fold") == DELETED).groupBy(*key)).applyInPandas(
+    events = packed.where(F.col("fold") == DELETED).groupBy(*key).cogroup(answers.where(F.col("fold") == DELETED).groupBy(*key)).applyInPandas(
         _events(blocks, n_learned), "bucket int, pair int, word int, n long").groupBy("bucket", "pair", "word").agg(F.sum("n").alias("n")).toPandas()
     weights = learned_weights(events, whole["types_learned"] or 0)
     scored = packed.groupBy(*key).cogroup(answers.groupBy(*key)).applyInPandas(
