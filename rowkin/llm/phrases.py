@@ -36,9 +36,9 @@ LEAST = 10  # occurrences of a phrase
 COVERED = 50  # per cent of a phrase's occurrences inside one longer phrase from which on it is left out
 MILLION = 1_000_000
 
-UNIT_BYTES = 8 << 20
-HELD_BYTES = 24 << 20  # texts of all languages that wait for their unit to fill, per task
-GROUP_SUFFIXES = 1_500_000  # the memory budget of a group; sorting a suffix takes some hundred bytes
+UNIT_BYTES = 6 << 20
+HELD_BYTES = 14 << 20  # texts of all languages that wait for their unit to fill, per task
+GROUP_SUFFIXES = 1_000_000  # the memory budget of a group; sorting a suffix takes some hundred bytes
 
 # What ends a piece. Inside pieces, words are divided by spaces and tabs.
 ENDS = b".,;:!?\n\x0b\x0c\r"
