@@ -117,9 +117,9 @@ def worded(n=400):
     return [*docs, (None, None, None, None, None), docs[8]], labels
 
 
-@pytest.mark.parametrize("broadcast", [mixing.BROADCAST_WORDS, 0])
-def test_words_tell_documents_apart(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(mixing, "BROADCAST_WORDS", broadcast)
+@pytest.mark.parametrize("cells", [mixing.CELLS, 1])
+def test_words_tell_documents_apart(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "CELLS", cells)
     docs, labels = worded()
     targets = {"good": 0.95, "bad": 0.05}
     got = mixing.mix(*frames(spark, docs, labels), targets, words=True).collect()
@@ -164,3 +164,58 @@ def test_take_by_words_follows_the_rates(spark):
 def test_no_python_on_the_path_of_words(spark):
     plan = mixing.mix(*frames(spark, *worded(40)), TARGETS, words=True)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_words_form_equals_dictionaries(spark):
+    """Weights from one fold, levels per document, posteriors from the other fold, and the misses of the rates."""
+    docs, labels = worded()
+    docs, targets = docs[:400], {"good": 0.8, "bad": 0.2}
+    frame, marks = frames(spark, docs, labels)
+    learns = {r.doc_id for r in frame.where(mixing._learns_words(F.col("doc_id"))).select("doc_id").collect()}
+    words = {i: set(text.lower().replace("!", "").split()) for i, text, *_ in docs}
+    known, domains = dict(labels), ["bad", "good"]
+    of, seen = Counter(), Counter()
+    for i in known.keys() & learns:
+        of[known[i]] += 1
+        seen.update((w, known[i]) for w in words[i])
+    weight = {}
+    for w in {w for w, _ in seen}:
+        for d, e in (domains, domains[::-1]):
+            a, b, n, m = seen[w, d] + 0.5, seen[w, e] + 0.5, of[d] + 1, of[e] + 1
+            ratio = math.log(a / n) - math.log(b / m)
+            if abs(ratio) > mixing.SURE * math.sqrt(1 / a - 1 / n + 1 / b - 1 / m):
+                weight[w, d] = round(ratio * mixing.WORD_UNIT)
+    level = {i: "".join(str(sum(sum(weight.get((w, d), 0) for w in own) >= c * mixing.WORD_UNIT for c in mixing.WORD_LEVELS)) for d in domains)
+             for i, own in words.items()}
+    rows = [{**{f: r[f] for f in mixing.FEATURES}, mixing.WORDS: level[r.doc_id], "i": r.doc_id} for r in mixing.with_features(frame).collect()]
+    judged = {i: d for i, d in known.items() if i not in learns}
+    prior, odds = Counter(judged.values()), {}
+    for r in rows:
+        logs = [math.log((prior[d] + 1) / (len(judged) + 2)) for d in domains]
+        for f in (*mixing.FEATURES, mixing.WORDS):
+            values = len({x[f] for x in rows})
+            for k, d in enumerate(domains):
+                logs[k] += math.log((sum(x[f] == r[f] and judged.get(x["i"]) == d for x in rows) + 1) / (prior[d] + values))
+        odds[r["i"]] = math.exp(logs[0] - max(logs)) / sum(math.exp(x - max(logs)) for x in logs)
+    got = mixing.mix(frame, marks, targets, words=True)
+    found = got.collect()
+    assert len(set(level.values())) > 1 and {r.doc_id: r.p_bad for r in found} == pytest.approx(odds, abs=1e-9)
+    total = sum(r.tokens for r in found)
+    for r in mixing.misses(got, targets).collect():
+        share = sum(x.rate * x.tokens * x[f"p_{r.domain}"] for x in found) / total
+        assert (r.target, r.expected, r.miss) == pytest.approx((targets[r.domain], share, share - targets[r.domain]))
+        assert abs(r.miss) < 1e-4
+
+
+def test_a_rare_domain_reaches_its_target(spark):
+    """A domain with a fiftieth of its target needs rates far over any small bound."""
+    docs = [(i, "word " * 50, "en", "rare" if i % 100 == 0 else "common", 250) for i in range(600)]
+    labels = [(i, "bad" if i % 100 == 0 else "good") for i in range(600)]
+    got = mixing.mix(*frames(spark, docs, labels), {"good": 0.5, "bad": 0.5})
+    assert all(abs(r.miss) < 1e-3 for r in mixing.misses(got, {"good": 0.5, "bad": 0.5}).collect())
+    assert got.agg(F.max("rate")).first()[0] > 20
+
+
+def test_the_sample_is_bounded(spark):
+    known = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("good").alias("domain"))
+    assert 350 < mixing.sampled(known, 500).count() < 650 and mixing.sampled(known, 5_000).count() == 5_000
