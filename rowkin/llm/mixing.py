@@ -247,7 +247,7 @@ def _counted(docs: DataFrame, known: DataFrame, domains: Sequence[str], words: b
         return counted, FEATURES, known
     learns = _learns_words(F.col("doc_id"))
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    weights = stage(word_weights(texts, sampled(known.where(learns)), domains), "words")
+    weights = stage(word_weights(texts, F.broadcast(sampled(known.where(learns))), domains), "words")  # SAMPLE bounds its size
     found = counted.withColumn(WORDS, found_words(word_model(weights, len(domains))))
     return found.withColumn(WORDS, word_levels(WORDS, len(domains))), (*FEATURES, WORDS), known.where(~learns)
 
