@@ -139,18 +139,36 @@ def _sized(name: str, source: str) -> str:
 _KEYS = """SELECT entity_key, phone_e164, birth_date, given_name, unnest(list_filter(['e:' || email, 'p:' || phone_e164,
     's:' || family_soundex || '|' || city], lambda x: x IS NOT NULL)) AS block FROM entities"""
 _GIVEN_SOUND = soundex("split_part(" + norm_text("given_name") + ", ' ', 1)")
-BLOCKS = f"""{_sized('blocks', _KEYS)},
-{_sized('finer', f"SELECT * EXCLUDE (records, block), block || '|g:' || coalesce({_GIVEN_SOUND}, '') AS block FROM blocks WHERE records > 50")},
-{_sized('finest', """SELECT * EXCLUDE (records, block, part), block || part AS block FROM (SELECT *, unnest(list_filter(['|y:' || year(birth_date),
-    '|t:' || right(phone_e164, 4)], lambda x: x IS NOT NULL)) AS part FROM finer WHERE records > 50)""")},
-grouped AS MATERIALIZED (SELECT level, list(entity_key ORDER BY entity_key) AS members FROM (
-    SELECT 0 AS level, entity_key, block, records FROM blocks UNION ALL SELECT 1, entity_key, block, records FROM finer
-    UNION ALL SELECT 2, entity_key, block, records FROM finest) WHERE records <= 50 GROUP BY level, block),
+
+
+def _split(level: int, source: str, letter: str, key: str, limit: int) -> str:
+    """One level of the trees: nodes of ``source`` over the limit are split by a key, small parts packed in the order of their keys."""
+    half = max(1, limit // 2)
+    return f"""cut{level} AS MATERIALIZED (SELECT * EXCLUDE (records, block), block AS node, coalesce({key}, '') AS part FROM {source} WHERE records > {limit}),
+parts{level} AS (SELECT node, part, count(*) AS n FROM cut{level} GROUP BY ALL),
+packed{level} AS (SELECT node, part, CASE WHEN n > {half} THEN node || '|{letter}:' || part ELSE node || '|{letter}~' || coalesce(sum(CASE WHEN n <= {half} THEN n END)
+    OVER (PARTITION BY node ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {half} END AS block FROM parts{level}),
+{_sized(f'tree{level}', f"SELECT cut{level}.* EXCLUDE (node, part), block FROM cut{level} JOIN packed{level} USING (node, part)")}"""
+
+
+def blocks(limit: int) -> str:
+    """Blocks, their trees, the members of every leaf within the limit, and the pairs these form."""
+    return f"""{_sized('blocks', f"SELECT *, block AS origin FROM ({_KEYS})")},
+{_split(1, 'blocks', 'g', _GIVEN_SOUND, limit)},
+{_split(2, 'tree1', 't', 'right(phone_e164, 4)', limit)},
+{_split(3, 'tree2', 'y', "year(birth_date)::VARCHAR", limit)},
+grouped AS MATERIALIZED (SELECT level, origin, block, list(entity_key ORDER BY entity_key) AS members FROM (
+    SELECT 0 AS level, origin, entity_key, block, records FROM blocks UNION ALL SELECT 1, origin, entity_key, block, records FROM tree1
+    UNION ALL SELECT 2, origin, entity_key, block, records FROM tree2 UNION ALL SELECT 3, origin, entity_key, block, records FROM tree3)
+    WHERE records <= {limit} GROUP BY level, origin, block),
 met AS MATERIALIZED (SELECT level, members[i] AS left_key, unnest(members[i + 1:]) AS right_key
     FROM (SELECT *, unnest(range(1, len(members))) AS i FROM grouped WHERE len(members) > 1)),
 candidates AS MATERIALIZED (SELECT DISTINCT left_key, right_key FROM met)"""
 
 
+BLOCKS = blocks(50)
+
+
 def _agree(name: str, column: str) -> str:
     return (f"CASE WHEN l.{column} IS NULL OR r.{column} IS NULL THEN 0 WHEN l.{column} = r.{column} THEN 1 ELSE -1 END "
             f"AS {name}")
@@ -264,6 +282,11 @@ master AS MATERIALIZED (SELECT master_id, {', '.join(
   FROM entities JOIN xref USING (entity_key) GROUP BY master_id)"""
 
 
+def refined(select: str) -> str:
+    """A statement about blocks with a limit that many of them exceed."""
+    return "WITH RECURSIVE " + ",\n".join([SOURCE_ROWS, ENTITIES, blocks(4)]) + "\n" + select
+
+
 def statement(select: str) -> str:
     chain = [SOURCE_ROWS, ENTITIES, BLOCKS, FEATURES, DECISIONS, SECOND_STAGE, CLUSTERS]
     if select.startswith("WITH "):
@@ -396,8 +419,6 @@ ORACLE: dict[str, str] = {name: statement(select) for name, select in {
     "entities_all": ENTITY_SELECT + "entities",
     "block_sizes": "SELECT block, count(*) AS records FROM blocks GROUP BY block",
     "candidate_pairs": "SELECT left_key, right_key FROM candidates",
-    "refined_pairs": "SELECT DISTINCT left_key, right_key FROM met WHERE level > 0",
-    "oversized_blocks": "SELECT block, count(*) AS records, count(*) * (count(*) - 1) // 2 AS pairs FROM finest WHERE records > 50 GROUP BY block",
     "silver_contracts": _SILVER_CONTRACTS,
     "half_labeled_decisions": f"""WITH half AS MATERIALIZED (SELECT scored.* EXCLUDE (is_match, split),
   CASE WHEN {_EVEN} THEN is_match END AS is_match, CASE WHEN {_EVEN} THEN split END AS split FROM scored, known),
@@ -473,3 +494,10 @@ ORACLE |= {
     "upsert_events": """SELECT user_id, event_type, event_id, round(value, 6) AS value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts
   FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""",
 }
+ORACLE |= {
+    "refined_pairs": refined("SELECT DISTINCT left_key, right_key FROM met WHERE level > 0"),
+    "oversized_blocks": refined("""SELECT block, records, pairs FROM (
+  SELECT b.block, b.records, b.records * (b.records - 1) // 2 - coalesce(f.formed, 0)::BIGINT AS pairs
+  FROM (SELECT block, count(*) AS records FROM blocks GROUP BY block HAVING count(*) > 4) AS b
+  LEFT JOIN (SELECT origin AS block, sum(len(members) * (len(members) - 1) // 2) AS formed FROM grouped GROUP BY origin) AS f USING (block)) WHERE pairs > 0"""),
+}

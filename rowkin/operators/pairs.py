@@ -63,13 +63,13 @@ def filtered_features(records: DataFrame) -> DataFrame:
     return _finished(named.where(is_candidate()))
 
 
-def build_pairs(entities: DataFrame, max_block: int = MAX_BLOCK_SIZE) -> DataFrame:
+def build_pairs(entities: DataFrame, max_block: int = MAX_BLOCK_SIZE, fitting: DataFrame | None = None) -> DataFrame:
     """Blocking, features and filter in one go.
 
     The compared fields travel with the block rows, so no pair has to look up its records again,
     and pairs found in several blocks are united only after the filter, when few are left.
     """
-    return filtered_features(paired_rows(entities, COMPARED, max_block)).distinct()
+    return filtered_features(paired_rows(entities, COMPARED, max_block, fitting=fitting)).distinct()
 
 
 def marked_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from rowkin.sources.tables import Layers, VersionedTables
 GIVEN_RULES = decide.Weights((5.0, -0.9, 4.5, -1.0, 3.0, -2.5, 0.5, -0.5, 6.0, 4.0), -10.37)
 GIVEN_SECOND = decide.Weights((3.0, -0.6, 2.5, -0.8, 2.0, -1.5, 0.3, -0.3, 4.0, 2.0, 6.0), -9.43)
 RUN_ID, SCORER, SMALL_BATCH = "given", "overlap", 20
+SMALL_BLOCK = 4  # a limit that many blocks of the derived sources exceed
 LOAD_SECONDS, SECONDS_PER_PAIR, COST_PER_HOUR = 10.0, 0.4, 0.30
 
 
@@ -435,8 +436,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "document_words": document_words,
     "block_sizes": block_sizes,
     "candidate_pairs": lambda t: blocking.candidate_pairs(t.staged_entities()),
-    "refined_pairs": lambda t: blocking.candidate_pairs(t.staged_entities(), levels=(1, 2)),
-    "oversized_blocks": lambda t: blocking.oversized_blocks(t.staged_entities()),
+    "refined_pairs": lambda t: blocking.candidate_pairs(t.staged_entities(), SMALL_BLOCK, levels=(1, 2, 3)),
+    "oversized_blocks": lambda t: blocking.oversized_blocks(t.staged_entities(), SMALL_BLOCK),
     "silver_contracts": silver_contracts,
     "half_labeled_decisions": half_labeled_decisions,
     "failed_batches": failed_batches,

@@ -17,7 +17,7 @@ from rowkin.operators.components import clusters, cross_reference
 from rowkin.operators.digest import combined_digest
 from rowkin.operators.entities import ENTITY_COLUMNS, all_entities
 from rowkin.operators.golden import MASTER_COLUMNS, golden_records, pending_entities
-from rowkin.operators.blocking import MAX_BLOCK_SIZE, oversized_blocks
+from rowkin.operators.blocking import MAX_BLOCK_SIZE, refined_blocks
 from rowkin.operators.pairs import PAIR_COLUMNS, build_pairs, marked_pairs
 from rowkin.operators.upsert import overlay, upsert
 from rowkin.session import stage
@@ -38,7 +38,7 @@ class RunConfig:
     batch_size: int = scoring.BATCH_SIZE
     target_precision: float = decide.TARGET_PRECISION
     cost_per_hour: float = 0.30
-    max_block: int = MAX_BLOCK_SIZE  # larger blocks are refined by further keys
+    max_block: int = MAX_BLOCK_SIZE  # larger blocks are split by further keys
     inject_duplicate: bool = False  # gate drill: a duplicated master must keep gold unchanged
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)  # may be used again: a retry is an attempt of its own
 
@@ -127,8 +127,9 @@ def link(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFra
     truth = layers.replace("ops", "ground_truth", truth)
     entities = layers.replace("silver", "entities", all_entities(crm, billing))
     quality.require(entity_contracts(entities))
-    features = layers.replace("silver", "pair_features", build_pairs(entities, config.max_block))
-    layers.replace("ops", "oversized_blocks", oversized_blocks(entities, config.max_block))
+    fitting, missed = refined_blocks(entities, config.max_block)
+    features = layers.replace("silver", "pair_features", build_pairs(entities, config.max_block, fitting))
+    layers.replace("ops", "oversized_blocks", missed)
     marked = layers.replace("silver", "marked_pairs", marked_pairs(features, truth))
     labeled = marked.where(F.col("is_match").isNotNull())
 
