@@ -501,3 +501,27 @@ ORACLE |= {
   FROM (SELECT block, count(*) AS records FROM blocks GROUP BY block HAVING count(*) > 4) AS b
   LEFT JOIN (SELECT origin AS block, sum(len(members) * (len(members) - 1) // 2) AS formed FROM grouped GROUP BY origin) AS f USING (block)) WHERE pairs > 0"""),
 }
+
+_MENTIONS = r"""WITH RECURSIVE texts AS (SELECT 'doc:' || doc_id AS entity_key, text FROM documents UNION ALL SELECT 'page:' || page_id, html FROM pages),
+found AS MATERIALIZED (
+  SELECT DISTINCT entity_key, 'e:' || lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}'))) AS key FROM texts WHERE entity_key IS NOT NULL
+  UNION SELECT entity_key, 'p:' || regexp_replace(unnest(regexp_extract_all(text, '[+][0-9][0-9 ().-]{7,}[0-9]')), '[^0-9]', '', 'g') FROM texts WHERE entity_key IS NOT NULL),
+keys AS MATERIALIZED (SELECT key, count(*) AS records, log2((SELECT count(*) FROM texts)::DOUBLE / count(*)) AS weight, count(*) > 50 AS hub FROM found GROUP BY key),
+links AS MATERIALIZED (SELECT a.entity_key AS x, b.entity_key AS y FROM found AS a JOIN found AS b USING (key) JOIN keys USING (key)
+  WHERE NOT hub AND a.entity_key <> b.entity_key GROUP BY ALL HAVING round(sum(weight), 6) >= 4),
+reached AS (SELECT DISTINCT entity_key, entity_key AS other FROM found UNION SELECT r.entity_key, l.y FROM reached AS r JOIN links AS l ON l.x = r.other),
+rooted AS (SELECT entity_key, min(other) AS root_key FROM reached GROUP BY entity_key)
+"""
+ORACLE |= {
+    "mention_keys": _MENTIONS + "SELECT key, records, round(weight, 6) AS weight, hub FROM keys",
+    "mention_clusters": _MENTIONS + "SELECT entity_key, root_key FROM rooted",
+    "mention_survivors": _MENTIONS + """, counted AS (SELECT root_key, key, count(*) AS n FROM found JOIN rooted USING (entity_key) GROUP BY ALL)
+SELECT root_key, records, substr((SELECT key FROM counted AS c WHERE c.root_key = s.root_key AND key LIKE 'e:%' ORDER BY n DESC, key LIMIT 1), 3) AS email,
+  substr((SELECT key FROM counted AS c WHERE c.root_key = s.root_key AND key LIKE 'p:%' ORDER BY n DESC, key LIMIT 1), 3) AS phone
+FROM (SELECT root_key, count(*) AS records FROM rooted GROUP BY root_key HAVING count(*) > 1) AS s""".lstrip(),
+    "similar_names": "WITH RECURSIVE " + SOURCE_ROWS + ",\n" + ENTITIES + """,
+names AS MATERIALIZED (SELECT DISTINCT city AS block, list_sort(list_distinct(string_split(full_name_norm, ' '))) AS t FROM entities WHERE city IS NOT NULL AND full_name_norm IS NOT NULL),
+compared AS (SELECT a.block, a.t AS x, b.t AS y, len(list_intersect(a.t, b.t)) AS shared FROM names AS a JOIN names AS b ON a.block = b.block AND a.t < b.t)
+SELECT block, array_to_string(x, ' ') AS left_tokens, array_to_string(y, ' ') AS right_tokens, shared, len(x) + len(y) - shared AS total
+FROM compared WHERE 100 * shared >= 60 * (len(x) + len(y) - shared)""",
+}

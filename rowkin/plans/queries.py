@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowkin.functions.text import norm_text
-from rowkin.operators import blocking, cascade, decide, digest, golden, metrics, pairs, quality, scoring
+from rowkin.operators import blocking, cascade, decide, digest, golden, mentions, metrics, pairs, quality, scoring, setjoin
 from rowkin.operators.components import clusters, cross_reference
 from rowkin.operators.entities import ENTITY_COLUMNS, all_entities, billing_entities, crm_entities
 from rowkin.operators.upsert import overlay, upsert
@@ -30,6 +30,7 @@ from rowkin.sources.tables import Layers, VersionedTables
 GIVEN_RULES = decide.Weights((5.0, -0.9, 4.5, -1.0, 3.0, -2.5, 0.5, -0.5, 6.0, 4.0), -10.37)
 GIVEN_SECOND = decide.Weights((3.0, -0.6, 2.5, -0.8, 2.0, -1.5, 0.3, -0.3, 4.0, 2.0, 6.0), -9.43)
 RUN_ID, SCORER, SMALL_BATCH = "given", "overlap", 20
+SIMILAR_NAMES = 60  # per cent
 SMALL_BLOCK = 4  # a limit that many blocks of the derived sources exceed
 LOAD_SECONDS, SECONDS_PER_PAIR, COST_PER_HOUR = 10.0, 0.4, 0.30
 
@@ -152,6 +153,34 @@ def blocking_recall(t: Tables) -> DataFrame:
     return metrics.blocking_recall(t.labeled(), t.truth())
 
 
+# --- given text -------------------------------------------------------------------------------
+
+def _texts(t: Tables) -> DataFrame:
+    """Documents and pages as records with a text."""
+    docs = t.given("documents").select(F.concat(F.lit("doc:"), "doc_id").alias("entity_key"), "text")
+    return docs.unionByName(t.given("pages").select(F.concat(F.lit("page:"), "page_id").alias("entity_key"), F.col("html").alias("text")))
+
+
+def mention_keys(t: Tables) -> DataFrame:
+    return mentions.linked(_texts(t))[2]
+
+
+def mention_clusters(t: Tables) -> DataFrame:
+    """Documents and pages that mention the same e-mails and telephone numbers."""
+    return mentions.linked(_texts(t))[0]
+
+
+def mention_survivors(t: Tables) -> DataFrame:
+    return mentions.survivors(*mentions.linked(_texts(t))[:2])
+
+
+def similar_names(t: Tables) -> DataFrame:
+    """Names of one city whose words are alike, without comparing all names of the city."""
+    names = t.entities().select(F.col("city").alias("block"), F.split("full_name_norm", " ").alias("tokens"))
+    found = setjoin.similar_sets(names, SIMILAR_NAMES)
+    return found.select("block", F.array_join("left_tokens", " ").alias("left_tokens"), F.array_join("right_tokens", " ").alias("right_tokens"), "shared", "total")
+
+
 # --- decisions --------------------------------------------------------------------------------
 
 def _scored(t: Tables) -> DataFrame:
@@ -438,6 +467,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "candidate_pairs": lambda t: blocking.candidate_pairs(t.staged_entities()),
     "refined_pairs": lambda t: blocking.candidate_pairs(t.staged_entities(), SMALL_BLOCK, levels=(1, 2, 3)),
     "oversized_blocks": lambda t: blocking.oversized_blocks(t.staged_entities(), SMALL_BLOCK),
+    "mention_keys": mention_keys,
+    "mention_clusters": mention_clusters,
+    "mention_survivors": mention_survivors,
+    "similar_names": similar_names,
     "silver_contracts": silver_contracts,
     "half_labeled_decisions": half_labeled_decisions,
     "failed_batches": failed_batches,
