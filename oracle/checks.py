@@ -525,3 +525,53 @@ compared AS (SELECT a.block, a.t AS x, b.t AS y, len(list_intersect(a.t, b.t)) A
 SELECT block, array_to_string(x, ' ') AS left_tokens, array_to_string(y, ' ') AS right_tokens, shared, len(x) + len(y) - shared AS total
 FROM compared WHERE 100 * shared >= 60 * (len(x) + len(y) - shared)""",
 }
+
+
+def _design(score: str | None = None) -> list[str]:
+    agreements = [f"({c} = {v})::INT::DOUBLE" for c in ("email_agree", "phone_agree", "birth_agree", "city_agree") for v in (1, -1)]
+    return [*agreements, "name_sim", "address_sim", *([f"coalesce({score}, 0.5::DOUBLE)"] if score else []), "1.0::DOUBLE"]
+
+
+def _margin(columns: list[str]) -> str:
+    return " + ".join(f"w[{i}] * {c}" for i, c in enumerate(columns, 1))
+
+
+def _fitted(name: str, train: str, score: str | None = None) -> str:
+    """Penalised Newton steps from zero in a recursive table; every step's system is solved by elimination without pivots."""
+    design = _design(score)
+    k, x = len(design), [f"x{i}" for i in range(1, len(design) + 1)]
+    rows = ", ".join("[" + ", ".join([*[
+        f"sum(n * p * (1 - p) * {x[min(i, j)]} * {x[max(i, j)]}) + {1.0 if i == j < k - 1 else 1e-12 if i == j else 0.0}::DOUBLE" for j in range(k)],
+        f"sum((n * p - hits) * {x[i]}) + {1.0 if i < k - 1 else 0.0}::DOUBLE * w[{i + 1}]"]) + "]" for i in range(k))
+    solved = (f"SELECT step, w, [{rows}] AS m FROM (SELECT step, w, n, hits, {', '.join(x)}, 1 / (1 + exp(-({_margin(x)}))) AS p "
+              f"FROM {name}_steps, {name}_rows WHERE step < 15) GROUP BY step, w")
+    for i in range(1, k + 1):
+        solved = (f"SELECT step, w, list_transform(m, lambda r, i: CASE WHEN i = {i} THEN list_transform(r, lambda v: v / m[{i}][{i}]) "
+                  f"ELSE list_transform(r, lambda v, j: v - r[{i}] * m[{i}][j] / m[{i}][{i}]) END) AS m FROM ({solved})")
+    return f"""{name}_rows AS MATERIALIZED (SELECT {', '.join(x)}, count(*)::DOUBLE AS n, count(*) FILTER (WHERE is_match)::DOUBLE AS hits FROM (
+  SELECT is_match, {', '.join(f'{d} AS {c}' for d, c in zip(design, x))} FROM {train} WHERE split = 'dev') GROUP BY {', '.join(x)}),
+{name}_steps(step, w) AS (SELECT 0, [{', '.join(['0.0::DOUBLE'] * k)}] UNION ALL
+  SELECT step + 1, list_transform(w, lambda v, i: v - m[i][{k + 1}]) FROM ({solved})),
+{name} AS MATERIALIZED (SELECT w FROM {name}_steps ORDER BY step DESC LIMIT 1)"""
+
+
+FITTED_DECISIONS = DECISIONS.replace(
+    f"scored AS MATERIALIZED (SELECT *, {RULES} AS p_match FROM labeled)",
+    f"{_fitted('rules_fit', 'labeled')},\nscored AS MATERIALIZED (SELECT labeled.*, 1 / (1 + exp(-({_margin(_design())}))) AS p_match FROM labeled, rules_fit)")
+FITTED_SECOND = SECOND_STAGE.replace(
+    f"queue_scored AS MATERIALIZED (SELECT *, {SECOND} AS p_match FROM queue)",
+    f"{_fitted('second_fit', 'queue', 'p_same')},\nqueue_scored AS MATERIALIZED (SELECT queue.*, 1 / (1 + exp(-({_margin(_design('p_same'))}))) AS p_match FROM queue, second_fit)"
+).replace("AS decision FROM queue_scored)", "AS decision FROM queue_scored WHERE (SELECT count(DISTINCT is_match) FROM queue WHERE split = 'dev') = 2)")
+_FINAL = "final AS MATERIALIZED (SELECT d.left_key, d.right_key, o.decision FROM decided d JOIN overlay o USING (pair_id))"
+
+
+def _chained(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join([SOURCE_ROWS, ENTITIES, BLOCKS, FEATURES, *parts]) + "\n"
+
+
+ORACLE |= {
+    "rules_stage": _chained(FITTED_DECISIONS) + f"SELECT pair_id, NULL::DOUBLE AS p_same, {rounded('p_match', 'p_match')}, decision FROM decided",
+    "cascade_fitted": _chained(DECISIONS, FITTED_SECOND) + f"SELECT pair_id, NULL::DOUBLE AS p_same, {rounded('p_match', 'p_match')}, decision FROM overlay",
+    "linked_customers": _chained(FITTED_DECISIONS, CLUSTERS) + MASTER_SELECT,
+    "linked_customers_cascade": _chained(FITTED_DECISIONS, FITTED_SECOND, _FINAL, CLUSTERS.replace("FROM decided", "FROM final")) + MASTER_SELECT,
+}

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkin.operators.pairs import AGREEMENTS
+from rowkin.session import stage
 
 # Wanted precision of MATCH and NON_MATCH, the threshold grids, and the thresholds
 # that stand for "never" when no grid value reaches the wanted precision.
@@ -18,6 +19,8 @@ GRID_START, GRID_STEP, GRID_SIZE, GRID_UNIT = 500, 5, 100, 1000
 LOW_GRID_SHIFT = 0.495
 NEVER_MATCH, NEVER_NON_MATCH = 1.01, -0.01
 NEUTRAL_SCORE = 0.5
+MAX_NEWTON_STEPS = 60
+NEWTON_CLOSE = 1e-9  # a step this small is the last
 SIMILARITIES = ("name_sim", "address_sim")
 
 
@@ -48,17 +51,50 @@ def design_columns(score: str | None = None) -> dict[str, Column]:
     return columns
 
 
-def fit(train: DataFrame, score: str | None = None) -> Weights:
-    """L2-regularised logistic regression with unit inverse strength and a free intercept."""
+def grouped_design(train: DataFrame, score: str | None = None) -> DataFrame:
+    """Distinct design rows with their number ``n`` and the matches among them, ``hits``: all that the fit needs to know."""
     design = design_columns(score)
-    rows = train.select(F.col("is_match").cast("double").alias("label"), *[c.alias(n) for n, c in design.items()])
-    rows = VectorAssembler(inputCols=list(design), outputCol="features").transform(rows).select("label", "features")
-    # The penalty is per row here, so unit strength over all rows is 1/n.
-    estimator = LogisticRegression(
-        regParam=1.0 / max(rows.count(), 1), elasticNetParam=0.0, standardization=False, maxIter=2000, tol=1e-8
-    )
-    model = estimator.fit(rows)
-    return Weights(tuple(float(w) for w in model.coefficients), float(model.intercept))
+    rows = train.select(F.col("is_match").cast("long").alias("label"), *[c.alias(name) for name, c in design.items()])
+    return rows.groupBy(*design).agg(F.count("label").cast("double").alias("n"), F.sum("label").cast("double").alias("hits")).where("n > 0")
+
+
+def _newton_sums(grouped: DataFrame, names: Sequence[str], at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient, second derivatives) over all rows at the given weights: one aggregate, one row to the driver."""
+    k, x = len(names), [*[F.col(name) for name in names[:-1]], F.lit(1.0)]
+    margin = sum((F.lit(float(w)) * c for w, c in zip(at, x, strict=True)), F.lit(0.0))
+    rows = grouped.withColumn("margin", margin).withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin"))))
+    n, hits, m, p = F.col("n"), F.col("hits"), F.col("margin"), F.col("p")
+    loss = n * (F.greatest(m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m)))) - hits * m
+    first = [F.sum((n * p - hits) * c) for c in x]
+    second = [F.sum(n * p * (1 - p) * x[i] * x[j]) for i in range(k) for j in range(i, k)]
+    sums = [v or 0.0 for v in rows.agg(F.sum(loss), *first, *second).first()]
+    curve = np.zeros((k, k))
+    curve[np.triu_indices(k)] = sums[k + 1:]
+    return sums[0], np.array(sums[1: k + 1]), curve + np.triu(curve, 1).T
+
+
+def fit(train: DataFrame, score: str | None = None) -> Weights:
+    """L2-regularised logistic regression with unit inverse strength and a free intercept.
+
+    Newton steps over the distinct design rows; a step that would raise the loss is halved. Without rows all weights are 0.
+    """
+    names = [*design_columns(score), "intercept"]
+    grouped = stage(grouped_design(train, score), "design")
+    penalty = np.array([1.0] * (len(names) - 1) + [0.0])
+    weights, step = np.zeros(len(names)), np.zeros(len(names))
+    best = np.inf
+    for _ in range(MAX_NEWTON_STEPS):
+        loss, gradient, curve = _newton_sums(grouped, names, weights - step)
+        loss += (penalty * (weights - step) ** 2).sum() / 2
+        if loss > best + 1e-9 * (1 + abs(best)):
+            step = step / 2
+            continue
+        weights, best = weights - step, loss
+        step = np.linalg.solve(curve + np.diag(penalty + 1e-12), gradient + penalty * weights)
+        if np.abs(step).max() < NEWTON_CLOSE:
+            break
+    final = weights - step
+    return Weights(tuple(map(float, final[:-1])), float(final[-1]))
 
 
 def match_probability(model: Weights, score: str | None = None) -> Column:
