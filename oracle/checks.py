@@ -378,6 +378,66 @@ _ORDER_CONTRACTS = _passed([
     _violations("lineitem.l_partkey reference", "lineitem", "l_partkey NOT IN (SELECT p_partkey FROM part)"),
     _violations("lineitem.l_suppkey reference", "lineitem", "l_suppkey NOT IN (SELECT s_suppkey FROM supplier)"),
 ])
+
+
+def _json_row(**columns: str) -> str:
+    """JSON text of a row; a value in quotes is text, one without is a number."""
+    parts = []
+    for name, v in columns.items():
+        value = f"'\"' || {v[1:]} || '\"'" if v[0] == '"' else f"({v})::VARCHAR"
+        parts.append(f"'\"{name}\":' || coalesce({value}, 'null')")
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+def _offenders(parts: list[str]) -> str:
+    """Parts give (check, row)."""
+    return f"""SELECT "check", offenders, "row" FROM (
+  SELECT *, count(*) OVER (PARTITION BY "check") AS offenders, row_number() OVER (PARTITION BY "check" ORDER BY "row") AS n
+  FROM ({' UNION ALL '.join(parts)}) AS found("check", "row")) WHERE n <= 100"""
+
+
+def _rows_where(check: str, table: str, condition: str, row: str) -> str:
+    return f"SELECT '{check}', {row} FROM {table} WHERE {condition}"
+
+
+def _repeated(check: str, table: str, *keys: str, text: bool = False, where: str = "true") -> str:
+    row = _json_row(**{k: ('"' if text else "") + k for k in keys}, rows="count(*)")
+    present = " AND ".join(f"{k} IS NOT NULL" for k in keys)
+    return f"SELECT '{check}', {row} FROM {table} WHERE {where} AND {present} GROUP BY {', '.join(keys)} HAVING count(*) > 1"
+
+
+def _orphans(check: str, table: str, key: str, parent: str, parent_key: str) -> str:
+    return f"SELECT '{check}', {_json_row(**{key: key}, rows='count(*)')} FROM {table} WHERE {key} NOT IN (SELECT {parent_key} FROM {parent}) GROUP BY {key}"
+
+
+_ORDER = _json_row(o_orderkey="o_orderkey", o_orderstatus='"o_orderstatus')
+_ITEM = _json_row(l_orderkey="l_orderkey", l_linenumber="l_linenumber", l_returnflag='"l_returnflag')
+_ORDER_OFFENDERS = _offenders([
+    _rows_where("orders.o_orderkey not null", "orders", "o_orderkey IS NULL", _ORDER),
+    _rows_where("orders.o_custkey not null", "orders", "o_custkey IS NULL", _ORDER),
+    _rows_where("orders.o_orderstatus allowed", "orders", "o_orderstatus NOT IN ('O', 'F')", _ORDER),
+    _rows_where("orders.o_totalprice range", "orders", "o_totalprice < 1000 OR o_totalprice > 400000", _ORDER),
+    _repeated("orders(o_orderkey) unique", "orders", "o_orderkey"),
+    _orphans("orders.o_custkey reference", "orders", "o_custkey", "customer", "c_custkey"),
+    _rows_where("lineitem.l_orderkey not null", "lineitem", "l_orderkey IS NULL", _ITEM),
+    _rows_where("lineitem.l_quantity not null", "lineitem", "l_quantity IS NULL", _ITEM),
+    _rows_where("lineitem.l_returnflag allowed", "lineitem", "l_returnflag NOT IN ('A', 'N')", _ITEM),
+    _rows_where("lineitem.l_discount range", "lineitem", "l_discount < 0 OR l_discount > 0.05", _ITEM),
+    _repeated("lineitem(l_orderkey,l_linenumber) unique", "lineitem", "l_orderkey", "l_linenumber"),
+    _orphans("lineitem.l_orderkey reference", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+    _orphans("lineitem.l_partkey reference", "lineitem", "l_partkey", "part", "p_partkey"),
+    _orphans("lineitem.l_suppkey reference", "lineitem", "l_suppkey", "supplier", "s_suppkey"),
+])
+_DOUBLED = "(SELECT * FROM master UNION ALL SELECT * FROM master WHERE has_pending_review)"
+_NAMES = _json_row(master_id='"master_id', given_name='"given_name', family_name='"family_name')
+_GATE_OFFENDERS = _offenders([
+    *[_rows_where(f"{c} not null", _DOUBLED, f"{c} IS NULL", _NAMES) for c in ("master_id", "given_name", "family_name")],
+    _repeated("master_id unique", _DOUBLED, "master_id", text=True),
+    _repeated("email unique when resolved", _DOUBLED, "email", text=True, where="NOT has_pending_review"),
+    _repeated("entity_key unique", "xref", "entity_key", text=True),
+    *[_rows_where("every entity mapped", a, f"entity_key NOT IN (SELECT entity_key FROM {b})", _json_row(entity_key='"entity_key', missing_in=f"\"'{b}'"))
+      for a, b in (("entities", "xref"), ("xref", "entities"))],
+])
 _DECISION_CONTRACTS = _passed([
     _violations("decisions.pair_id not null", "decided", "pair_id IS NULL"),
     _violations("decisions.p_match not null", "decided", "p_match IS NULL"),
@@ -472,6 +532,11 @@ SELECT 'partial' AS checkpoint, 'b' || lpad(n::VARCHAR, greatest(3, length(n::VA
     "published_gold": MASTER_SELECT,
     "pending_review": "SELECT entity_key FROM pending",
     "quality_checks": _check_rows("master"),
+    "gate_offenders": _GATE_OFFENDERS,
+    "resumed_scores": f"""WITH small AS (SELECT pair_id, left_key, (row_number() OVER (ORDER BY pair_id) - 1) // 20 AS n FROM decided WHERE decision = 'REVIEW'),
+failed AS (SELECT n FROM small JOIN entities ON entity_key = left_key GROUP BY n HAVING bool_or(city = 'nation 2'))
+SELECT pair_id, 'b' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS batch_id, 'resumed' AS checkpoint,
+  {rounded('CASE WHEN n IN (SELECT n FROM failed) THEN p_same ELSE 0.5 END', 'p_same')} FROM small JOIN scores USING (pair_id)""",
     "gate_drill": _check_rows("(SELECT * FROM master UNION ALL (SELECT * FROM master ORDER BY master_id LIMIT 1))"),
     "decision_contracts": _DECISION_CONTRACTS,
     "gold_digest": f"SELECT 'customer_master' AS \"table\", * FROM ({_MASTER_DIGEST}) UNION ALL SELECT 'customer_xref', * FROM ({_XREF_DIGEST})",
@@ -488,6 +553,7 @@ ORACLE |= {
     "document_words": f"SELECT doc_id, length(words) AS n_chars, md5(words) AS digest FROM (SELECT doc_id, {norm_text('text')} AS words FROM documents)",
     "auc_by_length": _auc("SELECT quality = 1 AS y, n_chars AS s FROM documents JOIN labels USING (doc_id)"),
     "order_contracts": _ORDER_CONTRACTS,
+    "order_offenders": _ORDER_OFFENDERS,
     "event_survivors": """SELECT user_id, (list(event_type ORDER BY ts DESC, event_id) FILTER (WHERE event_type <> 'error'))[1] AS event_type,
   (list(round(value, 6) ORDER BY ts DESC, event_id) FILTER (WHERE value >= 10))[1] AS value,
   (list(props->>'k' ORDER BY ts DESC, event_id) FILTER (WHERE props->>'k' IS NOT NULL))[1] AS k, count(*) AS events FROM events GROUP BY user_id""",

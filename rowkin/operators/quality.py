@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,7 +59,8 @@ class Contract:
     references: Mapping[str, tuple[DataFrame, str]] = field(default_factory=dict)
 
 
-def contract_checks(name: str, df: DataFrame, contract: Contract) -> DataFrame:
+def _predicates(name: str, contract: Contract) -> dict[str, Column]:
+    """What makes a row fail, by check."""
     failing: dict[str, Column] = {}
     for c in contract.required:
         failing[f"{name}.{c} not null"] = F.col(c).isNull()
@@ -67,6 +68,11 @@ def contract_checks(name: str, df: DataFrame, contract: Contract) -> DataFrame:
         failing[f"{name}.{c} allowed"] = ~F.col(c).isin(list(values))
     for c, (low, high) in contract.ranges.items():
         failing[f"{name}.{c} range"] = ~F.col(c).between(low, high)
+    return failing
+
+
+def contract_checks(name: str, df: DataFrame, contract: Contract) -> DataFrame:
+    failing = _predicates(name, contract)
     if contract.columns:
         kinds = dict(df.dtypes)
         odd = set(df.columns) ^ set(contract.columns) | {c for c, kind in contract.types.items() if kinds.get(c) != kind}
@@ -80,6 +86,73 @@ def contract_checks(name: str, df: DataFrame, contract: Contract) -> DataFrame:
     return _union(parts)
 
 
+OFFENDERS_KEPT = 100  # rows shown per check, at most 999; all of them are counted
+
+
+def _shown(name: str | Column, rows: DataFrame) -> DataFrame:
+    """(check, row): offending rows as JSON, missing values kept."""
+    check = F.lit(name) if isinstance(name, str) else name
+    return rows.select(check.alias("check"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("row"))
+
+
+def failing_rows(df: DataFrame, failing: Mapping[str, Column], show: Sequence[str] | None = None) -> DataFrame:
+    """A row for each check that a row of ``df`` fails, all checks in one pass; ``show`` names the columns that tell rows apart."""
+    hits = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in failing.items()]), lambda n: n.isNotNull())
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in show or df.columns]), {"ignoreNullFields": "false"})
+    return df.select(hits.alias("hits"), whole.alias("row")).where(F.size("hits") > 0).select(F.explode("hits").alias("check"), "row")
+
+
+def repeated_rows(name: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that occur more than once, as one row each with their number of rows."""
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    repeated = df.where(present).groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1")
+    return _shown(name, repeated)
+
+
+def orphan_rows(name: str, child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """The keys of ``child`` that ``parent`` lacks, as one row each with their number of rows."""
+    counted = child.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    return _shown(name, counted.join(parent.select(F.col(parent_key).alias(key)), key, "left_anti"))
+
+
+def keep_first(rows: DataFrame, limit: int = OFFENDERS_KEPT) -> DataFrame:
+    """(check, offenders, row): the first ``limit`` rows of a check by their text, and how many there are.
+
+    Below 1,000 the planner lets every task keep its own first rows before the shuffle, so a check
+    that all rows fail does not bring them into one task. Equal rows stay separate rows.
+    """
+    if not 0 < limit < 1_000:
+        raise ValueError(f"limit {limit} is not between 1 and 999")
+    counts = rows.groupBy("check").agg(F.count("*").alias("offenders"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("check").orderBy("row"))).where(F.col("n") <= limit)
+    return first.join(F.broadcast(counts), "check").select("check", "offenders", "row")
+
+
+def contract_offenders(name: str, df: DataFrame, contract: Contract, limit: int = OFFENDERS_KEPT,
+                       show: Sequence[str] | None = None) -> DataFrame:
+    """The rows and keys behind the failed checks of ``contract_checks``, under the same names."""
+    failing = _predicates(name, contract)
+    parts = [failing_rows(df, failing, show)] if failing else []
+    parts += [repeated_rows(f"{name}({','.join(keys)}) unique", df, keys) for keys in contract.keys]
+    parts += [orphan_rows(f"{name}.{c} reference", df, c, parent, key) for c, (parent, key) in contract.references.items()]
+    return keep_first(_union(parts), limit)
+
+
+def gold_offenders(master: DataFrame, xref: DataFrame, entities: DataFrame, limit: int = OFFENDERS_KEPT) -> DataFrame:
+    """The rows and keys behind the failed checks of ``gold_checks``; an empty master has none."""
+    entity_keys, mapped = entities.select("entity_key"), xref.select("entity_key")
+    mapping = "every entity mapped"
+    return keep_first(_union([
+        failing_rows(master.select("master_id", "given_name", "family_name"),
+                     {f"{c} not null": F.col(c).isNull() for c in ("master_id", "given_name", "family_name")}),
+        repeated_rows("master_id unique", master, ["master_id"]),
+        repeated_rows("email unique when resolved", master.where(~F.col("has_pending_review")), ["email"]),
+        repeated_rows("entity_key unique", xref, ["entity_key"]),
+        _shown(mapping, entity_keys.join(mapped, "entity_key", "left_anti").withColumn("missing_in", F.lit("xref"))),
+        _shown(mapping, mapped.join(entity_keys, "entity_key", "left_anti").withColumn("missing_in", F.lit("entities"))),
+    ]), limit)
+
+
 def gold_checks(master: DataFrame, xref: DataFrame, entities: DataFrame) -> DataFrame:
     """The gate in front of the gold tables."""
     nulls = row_checks(master, {f"{c} not null": F.col(c).isNull() for c in ("master_id", "given_name", "family_name")})
@@ -99,8 +172,12 @@ def gold_checks(master: DataFrame, xref: DataFrame, entities: DataFrame) -> Data
     ])
 
 
-def require(checks: DataFrame) -> None:
-    """Raise ``GateFailed`` with the failed checks; ``checks`` has a handful of rows."""
+def require(checks: DataFrame, record: Callable[[], str] | None = None) -> None:
+    """Raise ``GateFailed`` with the failed checks; ``checks`` has a handful of rows.
+
+    ``record`` writes the offending rows and says where; it is called only when a check failed.
+    """
     failed = checks.where(~F.col("passed")).select("check", "observed").collect()
     if failed:
-        raise GateFailed("; ".join(f"{r['check']}: {r['observed']}" for r in failed))
+        where = f"; rows in {record()}" if record else ""
+        raise GateFailed("; ".join(f"{r['check']}: {r['observed']}" for r in failed) + where)

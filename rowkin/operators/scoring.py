@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowkin.operators.pairs import attach_records
+from rowkin.session import stage
+from rowkin.sources.tables import Layers
 
 # What a scorer may see of a record, and under which name; never an id.
 SCORED_FIELDS = {
@@ -124,6 +126,50 @@ def score_queue(texts: DataFrame, scorer: BatchScorer | ColumnScorer) -> DataFra
                          valid_score(F.col("raw")).alias("p_same"), "load_s", "infer_s", "error")
 
 
+def _inputs(texts: DataFrame) -> DataFrame:
+    """``texts`` with a hash of what the scorer sees, so that a score of other texts is no score of these."""
+    return texts.withColumn("input", F.xxhash64("record_a", "record_b"))
+
+
+def missing_scores(texts: DataFrame, stored: DataFrame | None, checkpoint: str) -> DataFrame:
+    """The rows of ``texts`` that have no answer of this scorer to these texts; failed ones are missing too."""
+    if stored is None:
+        return texts
+    answered = stored.where((F.col("checkpoint") == checkpoint) & F.col("error").isNull()).select("pair_id", "input")
+    return _inputs(texts).join(answered, ["pair_id", "input"], "left_anti").select(*texts.columns)
+
+
+def resume_scores(texts: DataFrame, scorer: BatchScorer | ColumnScorer, layers: Layers, table: str = "score_log",
+                  wave: int = 4_096) -> DataFrame:
+    """Like ``score_queue``, but batches that an earlier, stopped call wrote are not scored again.
+
+    Batches are scored in waves of ``wave`` batches, one job each, and a wave's scores are appended
+    to ``ops/<table>`` when it ends. A later call scores only pairs without an answer (batches
+    that failed, pairs that are new or whose texts changed). The result has one row for each pair
+    of ``texts``: its answer if there is one, else its last failure. A scorer is known by its
+    name, so a new model needs a new name.
+    """
+    texts = stage(texts, "texts")
+    stored = layers.read_or_none("ops", table)
+    attempt = 1 if stored is None else (stored.agg(F.max("attempt").alias("n")).first()["n"] or 0) + 1
+    todo = missing_scores(texts, stored, scorer.name)
+    number = F.substring("batch_id", 2, 20).try_cast("bigint")  # a letter and a running number; other ids form one wave
+    todo = stage(todo.withColumn("wave", F.floor(F.coalesce(number, F.lit(0)) / wave)), "todo")
+    for row in todo.select("wave").distinct().orderBy("wave").collect():
+        part = todo.where(F.col("wave") == row["wave"]).drop("wave")
+        scored = score_queue(part, scorer).join(_inputs(part).select("pair_id", "input"), "pair_id")
+        scored.withColumn("attempt", F.lit(attempt).cast("bigint")).write.mode("append").parquet(layers.path("ops", table))
+
+    stored = layers.read_or_none("ops", table)
+    if stored is None:
+        return score_queue(texts, scorer)  # an empty queue
+    own = stored.where(F.col("checkpoint") == scorer.name)
+    best = F.max_by(F.struct("p_same", "load_s", "infer_s", "error"), F.struct(F.col("error").isNull(), "attempt"))
+    answers = own.groupBy("pair_id", "input").agg(best.alias("best"))
+    rows = _inputs(texts).select("pair_id", "batch_id", "input").join(answers, ["pair_id", "input"])
+    return rows.select("pair_id", "batch_id", F.lit(scorer.name).alias("checkpoint"), "best.*")
+
+
 class ScorerFailed(RuntimeError):
     """Every batch of a scorer failed."""
 

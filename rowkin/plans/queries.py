@@ -250,6 +250,17 @@ def failed_batches(t: Tables) -> DataFrame:
     return scoring.failed_batches(scored)
 
 
+def resumed_scores(t: Tables) -> DataFrame:
+    """A scorer that fails for one city, then one that does not: only the failed batches are scored again."""
+    entities, layers = t.staged_entities(), Layers(t.spark, t.scratch())
+    queue = stage(t.decided(entities).where(F.col("decision") == "REVIEW"), "queue")
+    batched = queue.join(scoring.plan_batches(queue, SMALL_BATCH), "pair_id")
+    texts = stage(scoring.scoring_input(batched, entities), "texts")
+    stage(scoring.resume_scores(texts, scoring.BatchScorer("resumed", _load_partial), layers), "scores")
+    scored = scoring.resume_scores(texts, scoring.BatchScorer("resumed", _load_overlap), layers)
+    return scored.select("pair_id", "batch_id", "checkpoint", "p_same")
+
+
 def cascade_fitted(t: Tables) -> DataFrame:
     rules, scores, _ = t.second_stage()
     return decide.decision_rows(cascade.run_cascade(rules, scores)[0])
@@ -364,7 +375,7 @@ def rerun_same_id(t: Tables) -> DataFrame:
     return tables.read("timing")
 
 
-def order_contracts(t: Tables) -> DataFrame:
+def _contracts(t: Tables) -> list[tuple[str, DataFrame, quality.Contract]]:
     orders, items = t.given("orders"), t.given("lineitem")
     on_orders = quality.Contract(
         required=("o_orderkey", "o_custkey"), keys=(("o_orderkey",),), allowed={"o_orderstatus": ("O", "F")},
@@ -374,8 +385,26 @@ def order_contracts(t: Tables) -> DataFrame:
         ranges={"l_discount": (0, 0.05)},
         references={"l_orderkey": (orders, "o_orderkey"), "l_partkey": (t.given("part"), "p_partkey"),
                     "l_suppkey": (t.given("supplier"), "s_suppkey")})
-    return quality.contract_checks("orders", orders, on_orders).unionByName(
-        quality.contract_checks("lineitem", items, on_items))
+    return [("orders", orders, on_orders), ("lineitem", items, on_items)]
+
+
+def order_contracts(t: Tables) -> DataFrame:
+    orders, items = [quality.contract_checks(*c) for c in _contracts(t)]
+    return orders.unionByName(items)
+
+
+def order_offenders(t: Tables) -> DataFrame:
+    """The first rows behind every failed check, by their text, and how many there are."""
+    shown = ("o_orderkey", "o_orderstatus"), ("l_orderkey", "l_linenumber", "l_returnflag")
+    orders, items = [quality.contract_offenders(*c, show=s) for c, s in zip(_contracts(t), shown, strict=True)]
+    return orders.unionByName(items)
+
+
+def gate_offenders(t: Tables) -> DataFrame:
+    """What the gate shows of a master table in which every master with a pending review appears twice."""
+    master, xref, entities = t.gold()
+    master = stage(master, "master")
+    return quality.gold_offenders(master.unionByName(master.where("has_pending_review")), xref, entities)
 
 
 def decision_contracts(t: Tables) -> DataFrame:
@@ -490,6 +519,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "rules_stage": rules_stage,
     "score_batches": score_batches,
     "scored_queue": scored_queue,
+    "resumed_scores": resumed_scores,
     "cascade_overlay": lambda t: t.second_stage()[2].select("pair_id", "p_match", "decision"),
     "cascade_fitted": cascade_fitted,
     "review_queue": review_queue,
@@ -506,6 +536,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "quality_checks": quality_checks,
     "gate_drill": gate_drill,
     "order_contracts": order_contracts,
+    "order_offenders": order_offenders,
+    "gate_offenders": gate_offenders,
     "decision_contracts": decision_contracts,
     "gold_digest": gold_digest,
     "published_gold": published_gold,

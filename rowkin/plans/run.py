@@ -39,6 +39,7 @@ class RunConfig:
     target_precision: float = decide.TARGET_PRECISION
     cost_per_hour: float = 0.30
     max_block: int = MAX_BLOCK_SIZE  # larger blocks are split by further keys
+    resume: bool = False  # use answers that stopped or earlier runs in this folder got from scorers of these names
     inject_duplicate: bool = False  # gate drill: a duplicated master must keep gold unchanged
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)  # may be used again: a retry is an attempt of its own
 
@@ -61,11 +62,15 @@ def config_name(scorer: str) -> str:
 
 
 def score_review(rules: DataFrame, entities: DataFrame, scorer: scoring.BatchScorer | scoring.ColumnScorer,
-                 batch_size: int) -> DataFrame:
-    """Second scores of the REVIEW pairs, written once. Only the queue ever reaches the scorer."""
+                 batch_size: int, layers: Layers | None = None) -> DataFrame:
+    """Second scores of the REVIEW pairs, written once. Only the queue ever reaches the scorer.
+
+    With ``layers``, answers that an earlier run wrote there are used again.
+    """
     queue = rules.where(F.col("decision") == "REVIEW")
     batched = queue.join(scoring.plan_batches(queue, batch_size), "pair_id")
-    scored = stage(scoring.score_queue(scoring.scoring_input(batched, entities), scorer), "scores")
+    texts = scoring.scoring_input(batched, entities)
+    scored = stage(scoring.resume_scores(texts, scorer, layers) if layers else scoring.score_queue(texts, scorer), "scores")
     scoring.require_some(scored)
     return scored
 
@@ -143,7 +148,7 @@ def link(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFra
     batch_ids = features.limit(0).select("pair_id", F.lit("").alias("batch_id"))
     for scorer in config.scorers:
         name = config_name(scorer.name)
-        scores[scorer.name] = score_review(rules, entities, scorer, config.batch_size)
+        scores[scorer.name] = score_review(rules, entities, scorer, config.batch_size, layers if config.resume else None)
         decisions[name], thresholds[name] = cascade.run_cascade(rules, scores[scorer.name], config.target_precision)
         batch_ids = scores[scorer.name].select("pair_id", "batch_id")  # the same for every scorer
     if scores:
@@ -186,7 +191,8 @@ def _run(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFra
     gold, layers = VersionedTables(spark, os.path.join(root, "gold")), Layers(spark, root)
     base = gold.last_seq()
     linked = link(spark, crm, billing, truth, root, config)
-    quality.require(quality.gold_checks(linked.master, linked.xref, linked.entities))
+    checked = linked.master, linked.xref, linked.entities
+    quality.require(quality.gold_checks(*checked), lambda: _write_offenders(layers, linked.attempt, quality.gold_offenders(*checked)))
     gold.publish(linked.attempt, GOLD_TABLES, base + 1)
 
     timing = _record_timing(spark, root, config.run_id, linked.attempt, linked.scores)
@@ -210,6 +216,11 @@ def _run(spark: SparkSession, crm: DataFrame, billing: DataFrame, truth: DataFra
     return RunResult(config.run_id, linked.thresholds, report, digest, same, seconds)
 
 
+def _write_offenders(layers: Layers, attempt: str, rows: DataFrame) -> str:
+    layers.replace("ops", f"offenders/{attempt}", rows)
+    return layers.path("ops", f"offenders/{attempt}")
+
+
 def _record_timing(spark: SparkSession, root: str, run_id: str, attempt: str, scores: dict[str, DataFrame]) -> DataFrame | None:
     """Batch times of this run put over those of earlier runs; a repeated batch keeps its pair count."""
     ops = VersionedTables(spark, os.path.join(root, "ops"))
