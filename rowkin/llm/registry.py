@@ -42,17 +42,22 @@ JOIN slots ON slot = cell JOIN shards USING (s)"""
 
 
 def op2_fixity(spark: SparkSession, folder: str) -> DataFrame:
-    """Two replicas of all pages as WARC records; the second lost and altered some, which the audit finds."""
+    """Two replicas of all pages as WARC records, each hashed and laid out from its own bytes.
+
+    In the second, some records have other letters in place. In every third archive some are cut
+    to half and some are lost, so that what follows them moves.
+    """
     pages = given(spark, folder, "pages").select("page_id", "url", "html")
-    records = fixity.page_records(pages)
-    decayed = F.when(F.col("record_id") % 101 == 7, F.sha2(F.concat("digest", F.lit("decay")), 256)).otherwise(F.col("digest"))
-    copy = records.where((F.col("record_id") % 211 != 5) | F.col("record_id").isNull()).withColumn("digest", decayed)
-    return fixity.audit(records, copy)
+    number, hit = F.col("page_id"), F.floor(F.col("page_id") / fixity.PAGES_PER_ARCHIVE) % 3 == 0
+    html = F.when(hit & (number % 307 == 11), F.expr("left(html, cast(length(html) / 2 as int))")).when(
+        number % 101 == 7, F.translate("html", "e", "3")).otherwise(F.col("html"))
+    kept = ~F.coalesce(hit & (number % 211 == 5), F.lit(False))
+    return fixity.audit(fixity.page_records(pages), fixity.page_records(pages.where(kept).withColumn("html", html)))
 
 
 def _tree_sql(source: str, levels: int) -> str:
     """The root of each archive as nested aggregates, for archives of up to 16 ** levels ranges."""
-    sql = (f"SELECT archive, \"offset\" // {fixity.RANGE_BYTES} AS node, sha256(string_agg(digest, '' ORDER BY \"offset\", digest)) AS hash "
+    sql = (f"SELECT archive, \"offset\" // {fixity.RANGE_BYTES} AS node, sha256(string_agg(\"offset\" || ':' || content, chr(10) ORDER BY \"offset\", content)) AS hash "
            f"FROM {source} GROUP BY ALL")
     for _ in range(levels):
         sql = (f"SELECT archive, node // {fixity.FANOUT} AS node, sha256(string_agg(node || ':' || hash, '' ORDER BY node)) AS hash "
@@ -60,23 +65,35 @@ def _tree_sql(source: str, levels: int) -> str:
     return sql
 
 
+def _records_sql(pages: str) -> str:
+    return f"""SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY record_id NULLS FIRST, digest
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset", coalesce(record_id::VARCHAR, '') || ':' || length || ':' || digest AS content
+FROM (SELECT coalesce((page_id // {fixity.PAGES_PER_ARCHIVE})::VARCHAR, 'none') AS archive, page_id AS record_id,
+  strlen(record)::BIGINT AS length, sha256(record) AS digest FROM (
+  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+    || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || repeat(chr(13) || chr(10), 2) || coalesce(html, '')
+    || repeat(chr(13) || chr(10), 2) AS record FROM {pages}))"""
+
+
 def op2_sql(levels: int) -> str:
     return f"""
-WITH bodies AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-texts AS (SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
-  || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || repeat(chr(13) || chr(10), 2) || html || repeat(chr(13) || chr(10), 2) AS record
-  FROM bodies),
-hashed AS (SELECT coalesce((page_id // {fixity.PAGES_PER_ARCHIVE})::VARCHAR, 'none') AS archive, page_id AS record_id,
-  strlen(record)::BIGINT AS length, sha256(record) AS digest FROM texts),
-original AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY archive ORDER BY record_id, digest
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM hashed),
-copy AS (SELECT archive, record_id, length, "offset",
-  CASE WHEN record_id % 101 = 7 THEN sha256(digest || 'decay') ELSE digest END AS digest
-  FROM original WHERE record_id % 211 <> 5 OR record_id IS NULL),
+WITH original AS MATERIALIZED ({_records_sql('pages')}),
+second AS (SELECT page_id, url, CASE WHEN hit AND page_id % 307 = 11 THEN left(html, (length(html) // 2)::INT)
+  WHEN page_id % 101 = 7 THEN translate(html, 'e', '3') ELSE html END AS html
+  FROM (SELECT *, coalesce((page_id // {fixity.PAGES_PER_ARCHIVE}) % 3 = 0, false) AS hit FROM pages) WHERE NOT hit OR page_id % 211 <> 5),
+copy AS MATERIALIZED ({_records_sql('second')}),
 roots AS (SELECT archive, l.hash AS left_root, r.hash AS right_root
   FROM ({_tree_sql('original', levels)}) AS l FULL JOIN ({_tree_sql('copy', levels)}) AS r USING (archive)),
-odd AS (SELECT o.archive, CASE WHEN c.digest IS NULL THEN 'missing' ELSE 'altered' END AS verdict, o."offset", o.record_id, o.length
-  FROM original AS o LEFT JOIN copy AS c USING (archive, "offset") WHERE o.digest IS DISTINCT FROM c.digest)
+lone AS MATERIALIZED (SELECT archive, "offset", length, record_id, content, min(side) AS side
+  FROM (SELECT 'left' AS side, * FROM original UNION ALL SELECT 'right', * FROM copy)
+  GROUP BY archive, "offset", length, record_id, content HAVING count(DISTINCT side) = 1),
+matched AS MATERIALIZED (SELECT *, EXISTS (SELECT 1 FROM lone AS o WHERE o.side <> l.side AND o.archive = l.archive AND o.content = l.content) AS moved FROM lone AS l),
+rest AS MATERIALIZED (SELECT * FROM matched WHERE NOT moved),
+seen AS (SELECT *, EXISTS (SELECT 1 FROM rest AS o WHERE o.side <> l.side AND o.archive = l.archive AND o."offset" = l."offset") AS same_place,
+  EXISTS (SELECT 1 FROM rest AS o WHERE o.side <> l.side AND o.archive = l.archive AND o.record_id = l.record_id) AS same_id FROM rest AS l),
+odd AS (SELECT archive, 'moved' AS verdict, "offset", record_id, length FROM matched WHERE moved AND side = 'left'
+  UNION ALL SELECT archive, CASE WHEN side = 'right' THEN 'extra' WHEN same_place OR same_id THEN 'altered' ELSE 'missing' END, "offset", record_id, length
+  FROM seen WHERE side = 'left' OR NOT (same_place OR same_id))
 SELECT archive, left_root, right_root, verdict, "offset", record_id, length FROM roots JOIN odd USING (archive)
 UNION ALL
 SELECT archive, left_root, right_root, 'intact', NULL, NULL, NULL FROM roots WHERE left_root = right_root"""

@@ -65,3 +65,48 @@ def test_page_records(spark):
     assert [r.archive for r in got] == ["0", "0", "0", "none"]
     assert [r.offset for r in got[:3]] == [0, got[0].length, got[0].length * 2]
     assert got[0].digest == got[1].digest != got[2].digest
+
+
+def test_place_length_and_number_are_hashed(spark):
+    left = [("a", 10, 10, 1, "x"), ("b", 10, 10, 1, "x"), ("c", 10, 10, 1, "x"), ("d", 10, 10, 1, "x")]
+    right = [("a", 500, 10, 1, "x"), ("b", 10, 99, 1, "x"), ("c", 10, 10, 2, "x"), ("d", 10, 10, 1, "x")]
+    got, _ = run(spark, left, right)
+    assert got == [("a", "moved", 10, 1), ("b", "altered", 10, 1), ("c", "altered", 10, 1), ("d", "intact", None, None)]
+
+
+def test_a_loss_moves_what_follows(spark):
+    sizes = [500 + 37 * i for i in range(40)]
+
+    def lay(skip, cut):
+        rows, at = [], 0
+        for i, size in enumerate(sizes):
+            if i != skip:
+                size -= 100 * (i == cut)
+                rows.append(("a", at, size, i, f"d{i}" + "!" * (i == cut)))
+                at += size
+        return rows
+
+    got, _ = run(spark, lay(None, None), lay(5, 9))
+    verdicts = {r[3]: r[1] for r in got}
+    assert verdicts == {5: "missing", 9: "altered", **{i: "moved" for i in range(6, 40) if i != 9}}
+
+
+def test_nulls_clashing_columns_and_many_records_at_one_place(spark):
+    wide = SCHEMA + ", side string, content string, node string"
+    left = spark.createDataFrame([(None, None, None, None, None, "s", "c", "n")] + [("a", 0, 1, i, f"d{i}", "", "", "") for i in range(300)], wide)
+    right = spark.createDataFrame([("none", 0, 0, None, "", "", "", "")] + [("a", 0, 1, i, f"d{i}", "", "", "") for i in range(1, 300)], wide)
+    got = sorted((r.archive, r.verdict, r.record_id) for r in fixity.audit(left, right).collect())
+    assert got == [("a", "missing", 0), ("none", "intact", None)]
+
+
+def test_offsets_of_repeated_ids_and_equal_pages(spark):
+    rows = [(1, f"http://x/{i % 90}", "y" * (i % 7)) for i in range(500)] + [(None, "u", f"{i % 50}") for i in range(300)] + [(2, "z", None)] * 40
+    got = fixity.page_records(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for archive in ("0", "none"):
+        mine = sorted((r for r in got if r.archive == archive), key=lambda r: r.offset)
+        assert [(r.record_id or 0, r.digest) for r in mine] == sorted((r.record_id or 0, r.digest) for r in mine)
+        at = 0
+        for r in mine:
+            assert r.offset == at
+            at += r.length
