@@ -550,6 +550,11 @@ SELECT pair_id, 'b' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0
 }.items()}
 
 ORACLE |= {
+    "ragged_csv": """SELECT CASE WHEN short OR long THEN 'quarantined' ELSE 'kept' END AS kind,
+  CASE WHEN short THEN '"' || k || '","' || n || '"' WHEN long THEN '"' || k || '","' || n || '","' || m || '","' || k || '"'
+    ELSE k || '|' || n || '|' || m END AS record
+  FROM (SELECT coalesce(c_custkey::VARCHAR, '') AS k, coalesce(c_name, '') AS n, coalesce(c_mktsegment, '') AS m,
+    coalesce(c_custkey % 7 = 3, false) AS short, coalesce(c_custkey % 11 = 5, false) AS long FROM customer)""",
     "document_words": f"SELECT doc_id, length(words) AS n_chars, md5(words) AS digest FROM (SELECT doc_id, {norm_text('text')} AS words FROM documents)",
     "auc_by_length": _auc("SELECT quality = 1 AS y, n_chars AS s FROM documents JOIN labels USING (doc_id)"),
     "order_contracts": _ORDER_CONTRACTS,

@@ -118,6 +118,19 @@ def bronze_csv(t: Tables) -> DataFrame:
     return csv_tables.read_text_csv(t.spark, path, csv_tables.BILLING_COLUMNS).drop("_ingested_at")
 
 
+def ragged_csv(t: Tables) -> DataFrame:
+    """Customers as CSV lines, some a field short and some a field over: what is kept and what goes to quarantine."""
+    columns = ("c_custkey", "c_name", "c_mktsegment")
+    number = F.col("c_custkey")
+    quoted = [F.concat(F.lit('"'), F.coalesce(F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit("")), F.lit('"')) for c in columns]
+    line = F.when(number % 7 == 3, F.concat_ws(",", *quoted[:2])).when(number % 11 == 5, F.concat_ws(",", *quoted, quoted[0])).otherwise(F.concat_ws(",", *quoted))
+    path = os.path.join(t.scratch(), "ragged")
+    t.given("customer").select(line.alias("value")).write.text(path)
+    rows, odd = csv_tables.read_checked_csv(t.spark, path, columns, stamp=False, header=False)
+    kept = rows.select(F.lit("kept").alias("kind"), F.concat_ws("|", *columns).alias("record"))
+    return kept.unionByName(odd.select(F.lit("quarantined").alias("kind"), "record"))
+
+
 def document_words(t: Tables) -> DataFrame:
     words = t.given("documents").select("doc_id", norm_text("text").alias("words"))
     return words.select("doc_id", F.length("words").cast("bigint").alias("n_chars"), F.md5("words").alias("digest"))
@@ -488,6 +501,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "source_rows": lambda t: t.rows(),
     "ground_truth": lambda t: t.truth(),
     "bronze_csv": bronze_csv,
+    "ragged_csv": ragged_csv,
     "crm_entities": lambda t: crm_entities(src.crm_users(t.rows())),
     "billing_entities": lambda t: billing_entities(src.billing_users(t.rows())),
     "entities_all": lambda t: t.entities().select(*ENTITY_COLUMNS),
