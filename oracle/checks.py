@@ -557,6 +557,10 @@ ORACLE |= {
     coalesce(c_custkey % 7 = 3, false) AS short, coalesce(c_custkey % 11 = 5, false) AS long FROM customer)""",
     "document_words": f"SELECT doc_id, length(words) AS n_chars, md5(words) AS digest FROM (SELECT doc_id, {norm_text('text')} AS words FROM documents)",
     "auc_by_length": _auc("SELECT quality = 1 AS y, n_chars AS s FROM documents JOIN labels USING (doc_id)"),
+    "auc_by_source": """SELECT source, round((sum(mean_rank) FILTER (WHERE y) - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0), 6)::DOUBLE AS auc FROM (
+  SELECT source, y, count(*) FILTER (WHERE y) OVER (PARTITION BY source) AS n1, count(*) FILTER (WHERE NOT y) OVER (PARTITION BY source) AS n0,
+    rank() OVER (PARTITION BY source ORDER BY s) + (count(*) OVER (PARTITION BY source, s) - 1) / 2.0 AS mean_rank
+  FROM (SELECT source, quality = 1 AS y, n_chars AS s FROM documents JOIN labels USING (doc_id))) GROUP BY source, n1, n0""",
     "order_contracts": _ORDER_CONTRACTS,
     "order_offenders": _ORDER_OFFENDERS,
     "event_survivors": """SELECT user_id, (list(event_type ORDER BY ts DESC, event_id) FILTER (WHERE event_type <> 'error'))[1] AS event_type,

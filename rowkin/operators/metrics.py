@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowkin.session import stage
+
 SECONDS_PER_HOUR = 3600
 SCORED_UNIT = 1000
 
@@ -98,18 +102,35 @@ def cascade_metrics(rules: DataFrame, cascade: DataFrame, timing: DataFrame) ->
     )
 
 
+def auc_table(scored: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(*groups, auc): exact areas under the ROC curve of all groups in one pass, ties averaged.
+
+    Rows without a score or a label of 0 or 1 do not count; a group without both classes has NULL.
+    Without ``groups`` it is one row, also for an empty table. Equal scores are counted before the sort. What lies
+    below a score is the sum of all ranges before its own plus a sum inside the range, so
+    no task sees more than one range of scores and no window spans a whole group.
+    """
+    value, truth = F.col(score).cast("double"), F.col(label).cast("double")
+    counted = scored.where(value.isNotNull()).groupBy(*groups, value.alias("_score")).agg(
+        F.count_if(truth == 1).alias("_yes"), F.count_if(truth == 0).alias("_no"))
+    ranged = stage(counted.repartitionByRange(*groups, "_score").withColumn("_range", F.spark_partition_id()), "scores")
+    inside = Window.partitionBy(*groups, "_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*groups, "_range").agg(F.sum("_no").alias("_whole"))
+    before = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_range").alias("_r"),
+                           F.coalesce(F.sum("_whole").over(earlier), F.lit(0)).alias("_before"))
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)], F.col("_range") == F.col("_r"))
+    below = F.coalesce(F.sum("_no").over(inside), F.lit(0))
+    placed = ranged.withColumn("_below", below).join(before, same)
+    # Twice the number of (positive, negative) pairs in the right order; a tie counts half.
+    won = F.sum(F.col("_yes").cast("decimal(19,0)") * (2 * (F.col("_before") + F.col("_below")) + F.col("_no")).cast("decimal(19,0)"))
+    pairs = F.sum("_yes").cast("double") * F.sum("_no").cast("double")
+    return placed.groupBy(*groups).agg((won.cast("double") / F.nullif(2 * pairs, F.lit(0.0))).alias("auc"))
+
+
 def auc(scored: DataFrame, score: str, label: str) -> float | None:
     """Exact area under the ROC curve, ties averaged; None unless both classes are present."""
-    rows = scored.where(F.col(score).isNotNull()).select(
-        F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label")
-    )
-    seen = rows.agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no")).first()
-    if not seen["yes"] or not seen["no"]:
-        return None
-    # numBins=0: one point per distinct score, from a distributed sort.
-    return BinaryClassificationEvaluator(
-        rawPredictionCol="score", labelCol="label", metricName="areaUnderROC", numBins=0
-    ).evaluate(rows)
+    return auc_table(scored, score, label).first()["auc"]
 
 
 def exact_median(values: DataFrame, column: str, in_one_task: int = MEDIAN_ROWS) -> float | None:

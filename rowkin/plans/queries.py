@@ -297,17 +297,19 @@ def score_metrics(t: Tables) -> DataFrame:
     return metrics.score_metrics(scores, rules, t.timing(scores), SCORER, COST_PER_HOUR)
 
 
-def _one_number(t: Tables, name: str, value: float | None) -> DataFrame:
-    return t.spark.range(1, numPartitions=1).select(F.lit(value).cast("double").alias(name))
-
-
 def auc_by_rules(t: Tables) -> DataFrame:
-    return _one_number(t, "auc", metrics.auc(_scored(t).where(F.col("split") == "test"), "p_match", "is_match"))
+    return metrics.auc_table(_scored(t).where(F.col("split") == "test"), "p_match", "is_match")
 
 
 def auc_by_length(t: Tables) -> DataFrame:
     rated = t.given("documents").select("doc_id", "n_chars").join(t.given("labels"), "doc_id")
-    return _one_number(t, "auc", metrics.auc(rated, "n_chars", "quality"))
+    return metrics.auc_table(rated, "n_chars", "quality")
+
+
+def auc_by_source(t: Tables) -> DataFrame:
+    """How well the length of a document tells its quality, for every source in one pass."""
+    rated = t.given("documents").select("doc_id", "source", "n_chars").join(t.given("labels"), "doc_id")
+    return metrics.auc_table(rated, "n_chars", "quality", ["source"])
 
 
 def review_queue(t: Tables) -> DataFrame:
@@ -542,6 +544,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "score_metrics": score_metrics,
     "auc_by_rules": auc_by_rules,
     "auc_by_length": auc_by_length,
+    "auc_by_source": auc_by_source,
     "cluster_roots": cluster_roots,
     "master_ids": lambda t: cross_reference(t.rooted(t.staged_entities())),
     "golden_records": lambda t: t.gold()[0],
