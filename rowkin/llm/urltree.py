@@ -70,28 +70,38 @@ def templates(shapes: DataFrame, good_share: float) -> DataFrame:
     """(host, shape, template, purity) from (host, shape, pages, labelled, good).
 
     ``good_share`` is the share of good pages among all labelled ones.
+
+    A round moves every node (host, template so far) to where it splits or where one of its shapes
+    ends: while all shapes of a node go on alike, each further segment is judged on the same counts.
+    A node of fewer pages than ``RARE_PAGES`` has wildcards only from there on and ends at once. So the
+    rounds follow the splits along a path and not the segments of the longest path.
     """
-    segments = F.split(F.regexp_replace("shape", "^/", ""), "/")
-    rows = shapes.withColumn("segments", segments).withColumn("template", F.lit(""))
+    counts = ("pages", "labelled", "good")
+    rows = shapes.withColumn("rest", F.split(F.regexp_replace("shape", "^/", ""), "/")).withColumn("template", F.lit(""))
     ended: list[DataFrame] = []
-    level = 0
     while True:
-        rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
+        rows = rows.withColumn("segment", F.get("rest", F.lit(0)))
         branch = rows.groupBy("host", "template", "segment").agg(
-            *[F.sum(c).alias(c) for c in ("pages", "labelled", "good")])
-        parent = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "good")])
+            *[F.sum(c).alias(c) for c in counts], F.min("rest").alias("low"), F.max("rest").alias("high"))
+        parent = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in counts], F.count("*").alias("branches"))
         judged = branch.join(parent, ["host", "template"])
         pooled = (F.col("all_good") + good_share) / (F.col("all_labelled") + 1)
         own = (F.col("good") + pooled) / (F.col("labelled") + 1)
         error = F.sqrt(pooled * (1 - pooled) / F.greatest("labelled", F.lit(1)))
         rare = F.col("pages") < RARE_PAGES
         same = F.abs(own - pooled) <= SAME_WITHIN * error
-        chosen = judged.select("host", "template", "segment", F.when(rare | same, "*").otherwise(F.col("segment")).alias("kept_as"))
-        rows = rows.join(chosen, ["host", "template", "segment"]).withColumn("template", F.concat("template", F.lit("/"), "kept_as"))
-        rows = stage(rows.drop("segment", "kept_as"), "templates")
-        level += 1
-        ended.append(rows.where(F.size("segments") <= level))
-        rows = rows.where(F.size("segments") > level)
+        differing = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+        alike = F.when(differing > 0, differing - 1).otherwise(F.size("low"))  # segments that all shapes between low and high share
+        steps = F.when(F.col("all_pages") < RARE_PAGES, F.lit(None)).when(F.col("branches") == 1, alike).otherwise(1)
+        chosen = judged.select("host", "template", "segment", (rare | same).alias("wild"), steps.cast("int").alias("steps"))
+        rows = rows.join(chosen, ["host", "template", "segment"])
+        steps = F.coalesce("steps", F.size("rest"))
+        passed = F.transform(F.slice("rest", F.lit(1), steps), lambda s: F.when(F.col("wild"), "*").otherwise(s))
+        rows = rows.withColumns({"template": F.concat("template", F.lit("/"), F.array_join(passed, "/")),
+                                 "rest": F.slice("rest", steps + 1, F.size("rest"))})
+        rows = stage(rows.drop("segment", "wild", "steps"), "templates")
+        ended.append(rows.where(F.size("rest") == 0))
+        rows = rows.where(F.size("rest") > 0)
         if rows.isEmpty():
             break
     rows = reduce(DataFrame.unionByName, ended)

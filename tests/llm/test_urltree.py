@@ -97,6 +97,65 @@ def test_whole_paths_are_judged(spark):
     assert got == {("/*/*/*/*/*/casino/*", "block"), ("/*/*/*/*/*/news/*", "allow")}
 
 
+def by_hand(pages, labels):
+    """page -> (template, purity): the tree level by level, by dictionaries."""
+    good = {}
+    for page, g in labels:
+        good[page] = good.get(page, True) and g
+    share = sum(good.values()) / len(good)
+    tree = {}
+    done = []
+    for page, url in pages:
+        host, path = split(url)
+        segments = path.removeprefix("/").split("/")
+        tree.setdefault((host, ""), []).append((page, segments, 0))
+    while tree:
+        following = {}
+        for (host, template), members in tree.items():
+            branches = {}
+            for m in members:
+                branches.setdefault(m[1][m[2]], []).append(m)
+            marked = [good[m[0]] for m in members if m[0] in good]
+            pooled = (sum(marked) + share) / (len(marked) + 1)
+            for segment, inside in branches.items():
+                own = [good[m[0]] for m in inside if m[0] in good]
+                error = (pooled * (1 - pooled) / max(len(own), 1)) ** 0.5
+                alike = abs((sum(own) + pooled) / (len(own) + 1) - pooled) <= urltree.SAME_WITHIN * error
+                grown = template + "/" + ("*" if len(inside) < urltree.RARE_PAGES or alike else segment)
+                for page, segments, level in inside:
+                    if level + 1 == len(segments):
+                        done.append((page, host, grown))
+                    else:
+                        following.setdefault((host, grown), []).append((page, segments, level + 1))
+        tree = following
+    out = {}
+    for page, host, template in done:
+        marked = [good[p] for p, h, t in done if (h, t) == (host, template) and p in good]
+        out[page] = template, (sum(marked) + urltree.PRIOR_PAGES * share) / (len(marked) + urltree.PRIOR_PAGES)
+    return out
+
+
+def test_equals_a_tree_built_by_hand(spark):
+    rng = random.Random(11)
+    pages, labels = [], []
+    for i in range(600):
+        depth = rng.choice((0, 1, 2, 3, 6, 12))
+        middle = ["same", "way"] * (depth // 4)
+        path = "/".join([rng.choice(("news", "casino", "a", "b")), *middle, *[rng.choice("xyz") for _ in range(depth - len(middle))]])
+        pages.append((i, f"http://{rng.choice(('p.com', 'q.com'))}/{path}{rng.choice(('', '/'))}"))
+        if rng.random() < 0.7:
+            labels.append((i, rng.random() < (0.1 if "casino" in path else 0.8)))
+    pages += [(1000, "http://p.com/" + "deep/" * 5000), (1001, "http://r.com" + "/trap" * 3000), (1002, "http://r.com" + "/trap" * 3000 + "/end")]
+    pages += [(1003 + i, "http://r.com" + "/trap" * 2000 + f"/{'uvw'[i % 3]}") for i in range(6)]
+    got = urltree.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good boolean"), []).collect()
+    want = by_hand(pages, labels)
+    assert len(got) == len(pages)
+    for r in got:
+        template, purity = want[r.page_id]
+        assert r.template == template and r.purity == pytest.approx(purity), r.path[:200]
+        assert r.verdict == ("block" if purity < urltree.LEAST_PURITY else "allow")
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urltree.judge(empty, spark.createDataFrame([], "page_id long, good boolean"), URL_RULES).count() == 0
