@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from rowkin.llm import shingles as sh
 from rowkin.llm.tables import small_batches
+from rowkin.operators.lookup import hot_keys
 from rowkin.session import stage
 
 SIMILARITY = (75, 100)  # intersection to union, as a fraction
@@ -70,7 +71,7 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, whole = SIMILARITY
     for batch in batches:
         keep = np.zeros(len(batch), bool)
-        for i, (a, b) in enumerate(zip(batch["a_set"], batch["b_set"], strict=True)):
+        for i, (a, b) in enumerate(zip(batch["a_shingles"], batch["b_shingles"], strict=True)):
             left, right = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
             both = sh.overlap(left, right)
             keep[i] = whole * both >= part * (len(left) + len(right) - both)
@@ -113,20 +114,30 @@ def components(links: DataFrame) -> DataFrame:
     return labels.unionByName(roots)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of vertices whose full sets are similar enough; ``sets`` is (v, shingles).
+def beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with ``column`` of both ends' sets as a_<column> and b_<column>; ``sets`` has one row per v.
 
-    A set that many pairs name is handed out in salted copies, so no task gets all of its pairs.
+    A set that many pairs name as b is handed out in salted copies, so no task gets all of its pairs.
+    The sets to copy are known by a broadcast of ``MAX_HOT_KEYS`` rows at most; no other has more
+    than its share of 1/4096 of the pairs.
     """
-    counts = pairs.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("pairs"))
-    copies = F.floor(F.col("pairs") / PAIRS_PER_SALT).cast("int")
-    dealt = pairs.join(counts.select(F.col("v").alias("b"), copies.alias("copies")), "b").withColumn(
-        "salt", F.pmod(F.xxhash64("a"), F.col("copies") + 1).cast("int"))
-    right = sets.join(counts.select("v", copies.alias("copies")), "v").select(
-        F.col("v").alias("b"), F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("salt"), F.col("shingles").alias("b_set"))
-    both = dealt.select("a", "b", "salt").join(right, ["b", "salt"]).join(
-        sets.select(F.col("v").alias("a"), F.col("shingles").alias("a_set")), "a")
-    return both.select("a", "b", "a_set", "b_set").mapInPandas(_confirmed, "a long, b long")
+    key = ["b"]
+    right = sets.select(F.col("v").alias("b"), F.col(column).alias(f"b_{column}"))
+    counts = stage(pairs.groupBy("b").agg(F.count("*").alias("pairs")), "pair-counts")
+    hot = hot_keys(counts, "b", "pairs", PAIRS_PER_SALT)
+    if hot is not None:
+        copies = F.broadcast(counts.join(hot, "b").select("b", F.floor(F.col("pairs") / PAIRS_PER_SALT).cast("int").alias("copies")))
+        more = F.coalesce("copies", F.lit(0))
+        pairs = pairs.join(copies, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), more + 1).cast("int"))
+        right = right.join(copies, "b", "left").select("b", f"b_{column}", F.explode(F.sequence(F.lit(0), more)).alias("salt"))
+        key = ["b", "salt"]
+    left = sets.select(F.col("v").alias("a"), F.col(column).alias(f"a_{column}"))
+    return pairs.join(right, key).join(left, "a").select("a", "b", f"a_{column}", f"b_{column}")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of vertices whose full sets are similar enough; ``sets`` is (v, shingles)."""
+    return beside(pairs, sets, "shingles").mapInPandas(_confirmed, "a long, b long")
 
 
 def similar_sizes(left: str, right: str) -> F.Column:
@@ -147,9 +158,7 @@ def alike_signatures() -> F.Column:
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that their signatures do not rule out."""
-    for end in ("b", "a"):
-        pairs = pairs.join(sets.select(F.col("v").alias(end), F.col("planes").alias(f"{end}_planes")), end)
-    return pairs.where(alike_signatures()).select("a", "b")
+    return beside(pairs, sets, "planes").where(alike_signatures()).select("a", "b")
 
 
 def unlike_roots(rest: DataFrame, halves: int) -> DataFrame:
@@ -233,8 +242,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Groups are formed over rows, so rows that repeat a doc_id or have none are told apart.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    grouped = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    ids = rows.select("_row", "doc_id").join(grouped, "_row")
-    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    return rows.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
+    row = max(docs.columns, key=len) + "_row"  # longer than any column's name, so it clashes with none
+    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    grouped = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, "doc_id").join(grouped, row)
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row))[row].alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)

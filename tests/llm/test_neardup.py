@@ -70,3 +70,19 @@ def test_a_very_long_text_needs_slices_only():
     assert len(found) == 29_996
     a, b = shingles.Sketcher(32, 4), shingles.Sketcher(32, 4)
     assert (a.half_keys(found) == b.half_keys(found)).all()
+
+
+def test_a_set_that_most_pairs_name(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS_PER_SALT", 4)
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdef") for _ in range(4)) for _ in range(300)]
+    docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1:]])) for i in range(60)] + [(100 + i, " ".join(rng.sample(base, 40))) for i in range(10)]
+    assert got(spark, docs) == brute(docs)
+
+
+def test_clashing_names_are_kept(spark):
+    docs = [(1, "a b c d e f g", 7), (2, "a b c d e f g", 8), (None, "", 9)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, _row long").withColumn("text_row", F.lit("x")).withColumn("component_id", F.lit(3))
+    kept = neardup.keep_first(frame)
+    assert kept.columns == frame.columns
+    assert sorted((tuple(r)[:3] for r in kept.collect()), key=repr) == sorted([docs[0], docs[2]], key=repr)
