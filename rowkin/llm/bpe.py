@@ -4,6 +4,8 @@ Texts are split at ASCII white space. The vocabulary's normaliser and pre-tokeni
 across white space, so a text's tokens are those of its words in a row. Each distinct word of the
 corpus is encoded once, by the tokenizers library, in the block of its hash; every unit of
 documents gets the ids of its own distinct words back and puts them at the words' positions.
+A block streams through its task: it answers some units at a time and remembers a bounded number
+of words, so its memory does not grow with the corpus. Words it had to forget are encoded again.
 
 Decoding joins ids with the table of pieces, which has one row per id of the vocabulary and is
 broadcast for that reason. Encoding a corpus and decoding it again decodes each distinct word of
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from rowkin.llm import units
 
 WORDS_AT_ONCE = 20_000
+REMEMBERED = 400_000  # words whose ids a block keeps; some 150 bytes each
+ASKED_AT_ONCE = 64  # units that a block answers at a time
 UNIT_CHARS = 8_000_000
 
 
@@ -59,6 +65,49 @@ def encoded(words: list[str], path: str) -> list[list[int]]:
     return out
 
 
+def encoded_flat(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids per word, the ids of all words in a row)."""
+    sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for start in range(0, len(words), WORDS_AT_ONCE):
+        lists = encoded(words[start: start + WORDS_AT_ONCE], path)
+        sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ids.append(np.fromiter(chain.from_iterable(lists), np.int32))
+    return np.concatenate(sizes), np.concatenate(ids)
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with these starts and lengths, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
+class WordIds:
+    """Ids of the words asked for so far; starts anew when it holds more than ``remembered`` words."""
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.path, self.remembered = path, remembered
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.starts, self.sizes, self.ids = array("q"), array("q"), array("i")
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids per word, the ids of all words in a row); the words are distinct."""
+        if len(self.place) > self.remembered:
+            self.forget()
+        new = [w for w in words if w not in self.place]
+        sizes, ids = encoded_flat([w.decode() for w in new], self.path)
+        for word in new:
+            self.place[word] = len(self.place)
+        self.starts.frombytes((len(self.ids) + np.cumsum(sizes) - sizes).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.ids.frombytes(ids.tobytes())
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        lengths = np.frombuffer(self.sizes, np.int64)[at]
+        return lengths, gathered(np.frombuffer(self.ids, np.int32), np.frombuffer(self.starts, np.int64)[at], lengths)
+
+
 def distinct_words(texts: list[str], blocks: int) -> list[list[str]]:
     """Sorted distinct words per block."""
     found: set[bytes] = set()
@@ -82,24 +131,42 @@ def _send(blocks: int):
 _SIZE_BYTES, _ID_BYTES = 4, 3  # of what a block answers: ids per word, and each id
 
 
-def _answer(path: str):
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        asked = [words.encode().split() for words in group["words"]]
-        every = sorted(set().union(*asked))
-        lists = dict(zip(every, encoded([w.decode() for w in every], path), strict=True))
-        out = {"part": group["part"], "fold": group["fold"], "unit": group["unit"], "block": group["block"],
-               "of": [zlib.crc32(w.encode()) for w in group["words"]], "sizes": [], "ids": []}
-        for words in asked:
-            own = [lists[w] for w in words]
-            out["sizes"].append(units.planes(np.array([len(i) for i in own], np.uint64), _SIZE_BYTES))
-            out["ids"].append(units.planes(np.array([i for x in own for i in x], np.uint64), _ID_BYTES))
+def _answer(path: str, known: WordIds | None = None):
+    known = known or WordIds(path)
+
+    def answer(asked: pd.DataFrame) -> pd.DataFrame:
+        out = {c: asked[c].to_numpy() for c in ("part", "fold", "unit", "block")} | {"of": [], "sizes": [], "ids": []}
+        for words in asked["words"]:
+            data = words.encode()
+            sizes, ids = known.of(data.split())
+            out["of"].append(zlib.crc32(data))
+            out["sizes"].append(units.planes(sizes, _SIZE_BYTES))
+            out["ids"].append(units.planes(ids, _ID_BYTES))
         return pd.DataFrame(out)
 
     return answer
 
 
+def _answers(path: str, remembered: int):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordIds(path, remembered)
+        answer = _answer(path, known)
+        for batch in batches:
+            for start in range(0, len(batch), ASKED_AT_ONCE):
+                yield answer(batch.iloc[start: start + ASKED_AT_ONCE])
+        known.forget()
+        units.give_back()
+
+    return work
+
+
 def _placed(path: str, blocks: int):
     def place(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        placed = put(packs, answers)
+        units.give_back()
+        return placed
+
+    def put(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if packs.empty:
             return pd.DataFrame({"doc_id": [], "n_tokens": [], "ids": [], "decoded": []})
         doc_ids, texts = units.unpack(packs["payload"].iloc[0])
@@ -113,8 +180,7 @@ def _placed(path: str, blocks: int):
             if of == zlib.crc32(" ".join(words).encode()):
                 sizes, ids = units.from_planes(sizes, _SIZE_BYTES), units.from_planes(ids, _ID_BYTES)
             else:  # the unit was cut differently than when it asked
-                lists = encoded(words, path)
-                sizes, ids = np.array([len(i) for i in lists]), np.array([i for x in lists for i in x])
+                sizes, ids = encoded_flat(words, path)
             for word in words:
                 place_of[word.encode()] = len(place_of)
             all_sizes.append(sizes.astype(np.int64))
@@ -127,19 +193,16 @@ def _placed(path: str, blocks: int):
         decoded = [" ".join(named[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         all_ids, all_texts, counts = [], [], []
         for text in texts:
-            at = [place_of[w] for w in text.encode().split()]
-            length = sizes[at] if at else np.empty(0, np.int64)
-            before = np.cumsum(length) - length
-            total = int(length.sum())
-            all_ids.append(flat[np.repeat(starts[at] - before, length) + np.arange(total)] if total else np.empty(0, np.int32))
-            all_texts.append(" ".join([decoded[i] for i in at if decoded[i]]))
-            counts.append(total)
+            at = np.fromiter(map(place_of.__getitem__, text.encode().split()), np.int64)
+            all_ids.append(gathered(flat, starts[at], sizes[at]))
+            all_texts.append(" ".join([decoded[i] for i in at.tolist() if decoded[i]]))
+            counts.append(len(all_ids[-1]))
         return pd.DataFrame({"doc_id": doc_ids, "n_tokens": counts, "ids": all_ids, "decoded": all_texts})
 
     return place
 
 
-def encode(docs: DataFrame, path: str, chars: int = UNIT_CHARS) -> DataFrame:
+def encode(docs: DataFrame, path: str, chars: int = UNIT_CHARS, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>, decoded) per row of ``docs``, of which doc_id and text are read.
 
     A null text is empty: no ids, decoded to empty text. Ids may be null or repeat; every row is encoded.
@@ -147,7 +210,7 @@ def encode(docs: DataFrame, path: str, chars: int = UNIT_CHARS) -> DataFrame:
     rows = units.numbered(units.repeatable(docs.select("doc_id", "text")), F.lit(0))
     blocks = units.blocks_for(docs)
     asked = units.items(rows, _send(blocks), "block int, words string", chars)
-    answers = asked.groupBy("block").applyInPandas(_answer(path), "part int, fold int, unit int, block int, of long, sizes binary, ids binary")
+    answers = asked.groupBy("block").applyInPandas(_answers(path, remembered), "part int, fold int, unit int, block int, of long, sizes binary, ids binary")
     key = ["part", "fold", "unit"]
     placed = units.packs(rows, chars).groupBy(*key).cogroup(answers.groupBy(*key)).applyInPandas(
         _placed(path, blocks), "doc_id string, n_tokens long, ids array<int>, decoded string")

@@ -12,11 +12,13 @@ also after an executor was lost. Anything else is written first.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +62,7 @@ def items(rows: DataFrame, send: Callable[[list[str]], Iterator[dict]], schema:
             out = list(send(texts))
             if out:
                 yield pd.DataFrame(out).assign(part=part, fold=fold, unit=unit)
+        give_back()
 
     return rows.mapInPandas(work, f"part int, fold int, unit int, {schema}")
 
@@ -70,10 +73,19 @@ def packs(rows: DataFrame, chars: int = UNIT_CHARS) -> DataFrame:
         press = zstandard.ZstdCompressor(level=3)
         for part, fold, unit, ids, texts in cut(batches, chars):
             yield pd.DataFrame([{"part": part, "fold": fold, "unit": unit, "payload": press.compress(pickle.dumps((ids, texts)))}])
+        give_back()
 
     return rows.mapInPandas(work, "part int, fold int, unit int, payload binary")
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers outlive their tasks, and what they hold counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def unpack(payload: bytes) -> tuple[list, list[str]]:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
 

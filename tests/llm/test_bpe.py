@@ -62,3 +62,17 @@ def test_each_word_is_encoded_once(spark, monkeypatch):
 def test_digests(spark):
     r = bpe.digests(spark.createDataFrame([(1, 2, [7, 8], "a b"), (2, 0, [], "")], "doc_id long, n_tokens long, ids array<int>, decoded string")).orderBy("doc_id").collect()
     assert r[0].ids_sha256 == hashlib.sha256(b"7 8").hexdigest() and r[1].ids_sha256 == r[1].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_block_may_forget(spark, monkeypatch):
+    frame = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in bpe.encode(frame, PATH, 300, remembered=5).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(corpus())}
+
+
+def test_word_ids_by_word():
+    known = bpe.WordIds(PATH, remembered=3)
+    for words in (["a", "hello"], [], ["hello", "xyzzy12"], ["\x00"], ["a", "b", "c", "d"], ["hello", "a"]):
+        sizes, ids = known.of([w.encode() for w in words])
+        want = [brute(w)[0] for w in words]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
