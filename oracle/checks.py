@@ -529,6 +529,15 @@ SELECT 'partial' AS checkpoint, 'b' || lpad(n::VARCHAR, greatest(3, length(n::VA
     "cluster_roots": "SELECT entity_key, root_key FROM roots",
     "master_ids": "SELECT entity_key, master_id FROM xref",
     "golden_records": MASTER_SELECT,
+    "updated_masters": MASTER_SELECT,
+    "updated_clusters": f"""WITH early AS MATERIALIZED (SELECT entity_key FROM entities WHERE md5(entity_key) >= '4'),
+early_pairs AS MATERIALIZED (SELECT left_key AS a, right_key AS b FROM decided WHERE decision = 'MATCH' AND pair_id < '8'
+  AND left_key IN (SELECT entity_key FROM early) AND right_key IN (SELECT entity_key FROM early)),
+early_links AS MATERIALIZED (SELECT a, b FROM early_pairs UNION SELECT b, a FROM early_pairs),
+early_reached(entity_key, other) AS (SELECT entity_key, entity_key FROM early UNION SELECT r.entity_key, l.b FROM early_reached r JOIN early_links l ON l.a = r.other),
+early_xref AS (SELECT entity_key, {uuid5('root_key')} AS was FROM (SELECT entity_key, min(other) AS root_key FROM early_reached GROUP BY entity_key))
+SELECT 'member' AS kind, entity_key AS key, master_id FROM xref
+UNION ALL SELECT DISTINCT 'redirect', was, master_id FROM early_xref JOIN xref USING (entity_key) WHERE was <> master_id""",
     "published_gold": MASTER_SELECT,
     "pending_review": "SELECT entity_key FROM pending",
     "quality_checks": _check_rows("master"),

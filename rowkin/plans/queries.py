@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowkin.functions.text import norm_text
-from rowkin.operators import blocking, cascade, decide, digest, golden, mentions, metrics, pairs, quality, scoring, setjoin
+from rowkin.operators import blocking, cascade, cluster_updates, decide, digest, golden, mentions, metrics, pairs, quality, scoring, setjoin
 from rowkin.operators.components import clusters, cross_reference
 from rowkin.operators.entities import ENTITY_COLUMNS, all_entities, billing_entities, crm_entities
 from rowkin.operators.upsert import overlay, upsert
@@ -323,6 +323,32 @@ def cluster_roots(t: Tables) -> DataFrame:
     return t.rooted(t.staged_entities())
 
 
+def _updated(t: Tables) -> tuple[DataFrame, cluster_updates.ClusterUpdate, DataFrame, DataFrame]:
+    """(entities, update, masters before it, entities in review): a quarter of the entities and half of the matches arrive later."""
+    entities = t.staged_entities()
+    decided = t.decided(entities)
+    matches = stage(decided.where(F.col("decision") == "MATCH").select("pair_id", "left_key", "right_key"), "matches")
+    early = lambda key: F.md5(F.col(key)) >= "4"
+    at_first = (F.col("pair_id") < "8") & early("left_key") & early("right_key")
+    first = entities.where(early("entity_key"))
+    xref = stage(cross_reference(clusters(first, matches.where(at_first))), "xref")
+    review = golden.pending_entities(decided)
+    master = golden.golden_records(first, xref, review)
+    return entities, cluster_updates.update_clusters(xref, entities, matches.where(~at_first)), master, review
+
+
+def updated_clusters(t: Tables) -> DataFrame:
+    """Ids after the update, and where ids that vanished lead."""
+    update = _updated(t)[1]
+    ids = update.xref.select(F.lit("member").alias("kind"), F.col("entity_key").alias("key"), "master_id")
+    return ids.unionByName(update.redirects.select(F.lit("redirect").alias("kind"), F.col("master_id").alias("key"), F.col("now").alias("master_id")))
+
+
+def updated_masters(t: Tables) -> DataFrame:
+    entities, update, master, review = _updated(t)
+    return cluster_updates.refreshed_masters(master, entities, update, review)
+
+
 def pending_review(t: Tables) -> DataFrame:
     return golden.pending_entities(t.decided(t.staged_entities()))
 
@@ -548,6 +574,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "cluster_roots": cluster_roots,
     "master_ids": lambda t: cross_reference(t.rooted(t.staged_entities())),
     "golden_records": lambda t: t.gold()[0],
+    "updated_clusters": updated_clusters,
+    "updated_masters": updated_masters,
     "pending_review": pending_review,
     "event_survivors": event_survivors,
     "quality_checks": quality_checks,
