@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from rowkin.functions import similarity
+from rowkin.operators import setjoin
 from rowkin.plans.queries import Tables
 
 
@@ -20,6 +21,24 @@ def test_rows_of_one_small_file_are_spread(spark, tmp_path):
     assert len(sizes) >= 8
 
 
+def test_sets_that_share_one_frequent_token_do_not_meet(spark):
+    rows = [("x", [f"a{i}", "common"]) for i in range(200)] + [("x", ["a7", "b", "common"])]
+    cut = spark.createDataFrame([(b, i, t, len(t), t) for i, (b, t) in enumerate(rows)], "block string, set long, tokens array<string>, n int, prefix array<string>")
+    assert setjoin.short_candidates(cut, 60).count() == 1
+    found = setjoin.similar_sets(spark.createDataFrame(rows, "block string, tokens array<string>"), 60).collect()
+    assert [tuple(r) for r in found] == [("x", ["a7", "b", "common"], ["a7", "common"], 2, 3)]
+
+
+def test_short_and_long_sets_equal_all_pairs(spark):
+    rng = random.Random(3)
+    sets = {tuple(sorted({rng.choice("abcdefghijklmnop") for _ in range(rng.choice((1, 2, 3, 6, 8, 9, 11, 14)))})) for _ in range(150)}
+    frame = spark.createDataFrame([("x", list(s)) for s in sets], "block string, tokens array<string>")
+    for percent in (20, 60):
+        want = {(x, y) for x in sets for y in sets if x < y and 100 * len(set(x) & set(y)) >= percent * len(set(x) | set(y))}
+        got = [(tuple(r.left_tokens), tuple(r.right_tokens)) for r in setjoin.similar_sets(frame, percent).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_common_subsequences_of_a_batch_equal_those_of_single_pairs():
     rng = random.Random(1)
     some = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 64)))
