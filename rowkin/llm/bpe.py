@@ -17,9 +17,10 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -108,22 +109,24 @@ class WordIds:
         return lengths, gathered(np.frombuffer(self.ids, np.int32), np.frombuffer(self.starts, np.int64)[at], lengths)
 
 
-def distinct_words(texts: list[str], blocks: int) -> list[list[str]]:
-    """Sorted distinct words per block."""
-    found: set[bytes] = set()
-    for text in texts:
-        found.update(text.encode().split())
-    out: list[list[str]] = [[] for _ in range(blocks)]
-    for word in sorted(found):
-        out[zlib.crc32(word) % blocks].append(word.decode())
+def dealt(words: Iterable[bytes], blocks: int) -> list[list[bytes]]:
+    """Distinct words per block, sorted."""
+    out: list[list[bytes]] = [[] for _ in range(blocks)]
+    for word in words:
+        out[zlib.crc32(word) % blocks].append(word)
+    for block in out:
+        block.sort()
     return out
 
 
 def _send(blocks: int):
     def send(texts: list[str]) -> Iterator[dict]:
-        for block, words in enumerate(distinct_words(texts, blocks)):
+        found: set[bytes] = set()
+        for text in texts:
+            found.update(text.encode().split())
+        for block, words in enumerate(dealt(found, blocks)):
             if words:
-                yield {"block": block, "words": " ".join(words)}
+                yield {"block": block, "words": b" ".join(words).decode()}
 
     return send
 
@@ -172,30 +175,37 @@ def _placed(path: str, blocks: int):
         doc_ids, texts = units.unpack(packs["payload"].iloc[0])
         got = {b: (of, sizes, ids) for b, of, sizes, ids in zip(answers["block"], answers["of"], answers["sizes"], answers["ids"], strict=True)}
         names = np.array(piece_list(path), object)
-        place_of, flats, all_sizes = {}, [], []
-        for block, words in enumerate(distinct_words(texts, blocks)):
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)  # words in the order they are met
+        met = [np.fromiter(map(number.__getitem__, text.encode().split()), np.int32) for text in texts]
+        del texts
+        order, flats, all_sizes = [], [], []
+        for block, words in enumerate(dealt(number, blocks)):
             if not words:
                 continue
             of, sizes, ids = got.get(block, (None, b"", b""))
-            if of == zlib.crc32(" ".join(words).encode()):
+            if of == zlib.crc32(b" ".join(words)):
                 sizes, ids = units.from_planes(sizes, _SIZE_BYTES), units.from_planes(ids, _ID_BYTES)
             else:  # the unit was cut differently than when it asked
-                sizes, ids = encoded_flat(words, path)
-            for word in words:
-                place_of[word.encode()] = len(place_of)
+                sizes, ids = encoded_flat([w.decode() for w in words], path)
+            order.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
             all_sizes.append(sizes.astype(np.int64))
             flats.append(ids.astype(np.int32))
+        place = np.empty(len(number), np.int64)  # of each word among all blocks' words in a row
+        place[np.concatenate([np.empty(0, np.int64), *order])] = np.arange(len(number))
+        del number
         flat = np.concatenate([np.empty(0, np.int32), *flats])
         sizes = np.concatenate([np.empty(0, np.int64), *all_sizes])
         ends = np.cumsum(sizes)
         starts = ends - sizes
         named = names[flat].tolist()
-        decoded = [" ".join(named[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        decoded = np.array([" ".join(named[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object)
+        silent = not all(decoded)  # some words have no pieces
         all_ids, all_texts, counts = [], [], []
-        for text in texts:
-            at = np.fromiter(map(place_of.__getitem__, text.encode().split()), np.int64)
+        for words in met:
+            at = place[words]
             all_ids.append(gathered(flat, starts[at], sizes[at]))
-            all_texts.append(" ".join([decoded[i] for i in at.tolist() if decoded[i]]))
+            spelled = decoded[at].tolist()
+            all_texts.append(" ".join(filter(None, spelled) if silent else spelled))
             counts.append(len(all_ids[-1]))
         return pd.DataFrame({"doc_id": doc_ids, "n_tokens": counts, "ids": all_ids, "decoded": all_texts})
 

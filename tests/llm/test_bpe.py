@@ -76,3 +76,10 @@ def test_word_ids_by_word():
         sizes, ids = known.of([w.encode() for w in words])
         want = [brute(w)[0] for w in words]
         assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_words_are_dealt_once_and_sorted_per_block():
+    words = [f"w{i}\u00e9".encode() for i in range(200)]
+    got = bpe.dealt(reversed(words), 7)
+    assert sorted(w for block in got for w in block) == sorted(words)
+    assert all(block == sorted(block) for block in got) and sum(map(bool, got)) > 1
