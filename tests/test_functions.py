@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowkin.functions import contact, keys, text
-from rowkin.functions.similarity import _lcs_batch, _lcs_long, agreement, with_token_set_similarity
+from rowkin.functions.similarity import _lcs_batch, _lcs_long, agreement, with_token_set_similarity, with_word_set_similarity, word_set
 from rowkin.operators.scoring import record_text, valid_score
 
 
@@ -143,3 +143,11 @@ def test_lcs_helpers():
     want = [lcs_by_table(a, b) for a, b in pairs]
     assert _lcs_batch([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want
     assert [_lcs_long(a, b) for a, b in pairs] == want
+
+
+def test_similarity_of_words_split_once(spark):
+    cases = [("ana maria", "maria ana"), ("ana  ana", "ana"), ("ana perez", "ana peres"), ("", "a"), (None, "a"), ("a", None), ("a b", "c d")]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a string, b string")
+    split = rows.select("i", word_set(F.col("a")).alias("a"), word_set(F.col("b")).alias("b"))
+    got = with_word_set_similarity(split, "s", F.col("a"), F.col("b")).orderBy("i").select("s").collect()
+    assert [r[0] for r in got] == pytest.approx([similarity_by_definition(a, b) for a, b in cases], abs=1e-12)
