@@ -11,12 +11,15 @@ How it stays linear in the documents:
 * Equal sets count as one vertex from the start, so a group of exact copies is one row.
 * A half key that only one set has cannot be part of a shared table key. Those are dropped before
   pairs of half keys are formed; most sets end here.
-* In a table cell all sets are compared with the cell's first set alone. That joins almost all of a
-  group of near copies. What is left are sets that meet in a cell and are in different components
-  still. Those are paired by their half keys of the first collection, each pair once, at its first
-  common half key.
+* In a table cell all sets are compared with the cell's first set alone. A set starts with the first
+  set that it meets in most cells; that joins almost all of a group of near copies. With others it is
+  compared only where that left them in different components.
+* What is left are sets that meet in a cell and are in different components still. Those are paired by
+  their half keys of the first collection, each pair once, at its first common half key.
 * Full sets are fetched only for pairs whose sizes allow a link and whose longer signatures do not
-  rule it out (512 min-hashes; a pair of similarity 0.75 is ruled out with a probability of 4e-6).
+  rule it out (512 min-hashes, 1,024 for the sets that are left; a pair of similarity 0.75 is ruled out
+  with a probability of 4e-6). Sets just below the similarity to a whole group pass at times, so the
+  number of these pairs still grows with the sets left times the members of their group.
 * Frequent keys are counted before the shuffle; the joins on them can be split by the engine,
   for no aggregate stands on top of their shuffles.
 """
@@ -32,13 +35,14 @@ from pyspark.sql import functions as F
 
 from rowkin.llm import shingles as sh
 from rowkin.llm.tables import small_batches
-from rowkin.operators.lookup import hot_keys
+from rowkin.operators.lookup import hot_keys, lookup
 from rowkin.session import stage
 
 SIMILARITY = (75, 100)  # intersection to union, as a fraction
 HALVES = 32
 PER_HALF = 4
-LEAST_AGREEING = 349  # of 512 four-bit min-hashes; a similarity of 0.75 gives 392 with a deviation of 9.6
+LEAST_AGREEING = {512: 349, 1_024: 723}  # of so many four-bit min-hashes; a similarity of 0.75 gives 392 and 784 with deviations of 9.6 and 13.6
+LONG_LANES = 1_024
 MAX_ROUNDS = 100
 PAIRS_PER_SALT = 1_000  # pairs that one copy of a frequent set serves
 
@@ -67,6 +71,12 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 "planes": [signer.planes(s) for s in found]})
 
 
+def _long_planes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    signer = sh.Signer(LONG_LANES)
+    for batch in batches:
+        yield pd.DataFrame({"v": batch["v"], "planes": [signer.planes(np.frombuffer(s, np.uint64)) for s in batch["shingles"]]})
+
+
 def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part, whole = SIMILARITY
     for batch in batches:
@@ -146,14 +156,14 @@ def similar_sizes(left: str, right: str) -> F.Column:
     return F.least(left, right) * whole >= F.greatest(left, right) * part
 
 
-def alike_signatures() -> F.Column:
-    """Whether the signatures a_planes and b_planes leave room for the similarity."""
+def alike_signatures(lanes: int = sh.Signer.LANES) -> F.Column:
+    """Whether the signatures a_planes and b_planes of ``lanes`` min-hashes leave room for the similarity."""
     def differing(word: int) -> F.Column:
         planes = [F.col("a_planes")[4 * word + i].bitwiseXOR(F.col("b_planes")[4 * word + i]) for i in range(4)]
         return F.bit_count(planes[0].bitwiseOR(planes[1]).bitwiseOR(planes[2]).bitwiseOR(planes[3]))
 
-    odd = sum((differing(w) for w in range(1, sh.Signer.LANES // 64)), differing(0))
-    return odd <= sh.Signer.LANES - LEAST_AGREEING
+    odd = sum((differing(w) for w in range(1, lanes // 64)), differing(0))
+    return odd <= lanes - LEAST_AGREEING[lanes]
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,8 +171,16 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return beside(pairs, sets, "planes").where(alike_signatures()).select("a", "b")
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different roots; a vertex that is not in ``roots`` is its own."""
+    counts = stage(pairs.groupBy("b").agg(F.count("*").alias("pairs")), "pair-counts")
+    for end, hot in (("a", None), ("b", hot_keys(counts, "b", "pairs", PAIRS_PER_SALT))):
+        pairs = lookup(pairs, roots.select(F.col("v").alias(end), F.col("root").alias(f"{end}_root")), end, hot, "left")
+    return pairs.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+
+
 def unlike_roots(rest: DataFrame, halves: int) -> DataFrame:
-    """Pairs (a, b) of ``rest`` (v, n, root, halves, planes) that may be similar and have different roots."""
+    """Pairs (a, b) of ``rest`` (v, n, root, halves, long planes) that may be similar and have different roots."""
     first = rest.withColumn("first", F.slice("halves", 1, halves)).drop("halves")
     rows = first.select("v", "n", "root", "planes", "first", F.posexplode("first").alias("at", "half"))
     shared = rows.groupBy("half").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("half")
@@ -172,7 +190,7 @@ def unlike_roots(rest: DataFrame, halves: int) -> DataFrame:
 
     at = F.array_position(F.zip_with("a_first", "b_first", lambda x, y: x == y), True) - 1
     alike = (F.col("a_v") > F.col("b_v")) & (F.col("a_root") != F.col("b_root")) & similar_sizes("a_n", "b_n")
-    pairs = left.join(right.drop("at"), "half").where(alike & alike_signatures() & (at == F.col("at")))
+    pairs = left.join(right.drop("at"), "half").where(alike & alike_signatures(LONG_LANES) & (at == F.col("at")))
     return pairs.select(F.col("a_v").alias("a"), F.col("b_v").alias("b"))
 
 
@@ -198,18 +216,16 @@ def _grouped(docs: DataFrame, halves: int, per_half: int) -> DataFrame:
 
     half_keys = vertices.select("v", F.explode("halves").alias("half"))
     shared = half_keys.groupBy("half").agg(F.count("*").alias("sets")).where("sets > 1").select("half")
-    living = half_keys.join(shared, "half").groupBy("v").agg(F.collect_list("half").alias("living"))
+    living = half_keys.join(shared, "half").groupBy("v").agg(F.collect_list("half").alias("living")).join(vertices.select("v", "n"), "v")
     first = F.filter("living", lambda h: h.bitwiseAND(F.lit(1)) == 0)
     second = F.filter("living", lambda h: h.bitwiseAND(F.lit(1)) == 1)
-    keyed = living.select("v", F.explode(first).alias("x"), second.alias("ys")).select("v", "x", F.explode("ys").alias("y"))
-    cells = keyed.select("v", F.xxhash64("x", "y").alias("cell"))
-    heads = cells.groupBy("cell").agg(F.min("v").alias("head"), F.max("v").alias("last")).where("head < last").select("cell", "head")
-    cells = stage(cells.join(heads, "cell").join(vertices.select("v", "n"), "v").select("cell", "v", "head", "n"), "cells")
+    keyed = living.select("v", "n", F.explode(first).alias("x"), second.alias("ys")).select("v", "n", "x", F.explode("ys").alias("y"))
+    cells = keyed.select("v", "n", F.xxhash64("x", "y").alias("cell"))
+    heads = cells.groupBy("cell").agg(F.min("v").alias("head"), F.min_by("n", "v").alias("head_n"), F.max("v").alias("last"))
+    cells = stage(cells.join(heads.where("head < last").drop("last"), "cell"), "cells")
 
-    starred = cells.where("v <> head").select(F.col("v").alias("a"), F.col("head").alias("b")).distinct()
-    sizes = vertices.select(F.col("v").alias("b"), F.col("n").alias("b_n"))
-    sizes_a = vertices.select(F.col("v").alias("a"), F.col("n").alias("a_n"))
-    starred = stage(starred.join(sizes, "b").join(sizes_a, "a").where(similar_sizes("a_n", "b_n")).select("a", "b"), "starred")
+    sized = cells.where("v <> head").where(similar_sizes("n", "head_n"))
+    starred = stage(sized.groupBy(F.col("v").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("cells")), "starred")
 
     met = cells.select("v").distinct()
     wanted = vertices.join(met, "v").select("digest", "v", "first_id")
@@ -218,13 +234,17 @@ def _grouped(docs: DataFrame, halves: int, per_half: int) -> DataFrame:
     sets = named.select("text").mapInPandas(_full_sets, "digest binary, shingles binary, planes array<long>").join(wanted.select("digest", "v"), "digest")
     sets = stage(sets.select("v", "shingles", "planes").dropDuplicates(["v"]), "sets")
 
-    links = stage(confirm(stage(plausible(starred, sets), "plausible"), sets), "star-links")
+    nearest = stage(starred.groupBy("a").agg(F.max_by("b", F.struct("cells", -F.col("b"))).alias("b")), "nearest")
+    links = stage(confirm(stage(plausible(nearest, sets), "plausible"), sets), "star-links")
+    others = stage(apart(starred.select("a", "b").join(nearest, ["a", "b"], "left_anti"), components(links)), "others")
+    links = links.unionByName(stage(confirm(stage(plausible(others, sets), "plausible"), sets), "star-links"))
     roots = components(links)
     rooted = cells.join(roots, "v", "left").select("cell", "v", "n", F.coalesce("root", "v").alias("root"))
     open_cells = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("cell")
-    rest = rooted.join(open_cells, "cell").select("v", "n", "root").distinct()
-    pairs = unlike_roots(rest.join(vertices.select("v", "halves"), "v").join(sets.select("v", "planes"), "v"), halves)
-    pairs = pairs.join(starred, ["a", "b"], "left_anti")
+    rest = stage(rooted.join(open_cells, "cell").select("v", "n", "root").distinct(), "rest")
+    planes = sets.join(rest.select("v"), "v").select("v", "shingles").mapInPandas(_long_planes, "v long, planes array<long>")
+    pairs = unlike_roots(rest.join(vertices.select("v", "halves"), "v").join(planes, "v"), halves)
+    pairs = pairs.join(starred.select("a", "b"), ["a", "b"], "left_anti")
     more = confirm(stage(pairs, "pairs"), sets)
     roots = components(links.unionByName(more))  # written, so no Python runs after this
 
