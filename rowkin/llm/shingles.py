@@ -71,12 +71,12 @@ class Sketcher:
 
 
 class Signer:
-    """Four bits of each of 512 min-hashes (or more) as 32 longs: long 4 * w + i holds bit i of min-hashes 64 * w to 64 * w + 63."""
+    """Four bits of each of 512 min-hashes as 32 longs: long 4 * w + i holds bit i of min-hashes 64 * w to 64 * w + 63."""
 
     LANES = 512
 
-    def __init__(self, lanes: int = LANES):
-        self.hashes = Sketcher(lanes // 2, 1)
+    def __init__(self):
+        self.hashes = Sketcher(self.LANES // 2, 1)
         self.weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
     def planes(self, shingles: np.ndarray) -> np.ndarray:
